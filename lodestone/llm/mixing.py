@@ -43,8 +43,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
                  (F.sum("source_size").over(every) * F.lit(float(share))).alias("budget"))
     level = (F.col("budget") - F.col("full")) / F.col("open")
     s = s.select("source", "source_size", "w", "top", F.when(level <= F.col("top") / F.col("w"), level).alias("level"))
-    # The first source that the level doesn't fill sets it; with none, every source is at its limit.
-    s = s.select("*", F.min("level").over(every).alias("at"))
+    # The first source in that order that the level doesn't fill sets it, and later ones would set it lower; with none, every source is at its limit.
+    s = s.select("*", F.max("level").over(every).alias("at"))
     return s.select("source", "source_size", F.when(F.col("at").isNull(), F.col("top")).otherwise(
         F.least("top", F.col("at") * F.col("w"))).alias("target"))
 
@@ -119,7 +119,7 @@ f AS (SELECT *, coalesce(sum(top) OVER (ORDER BY top / w, source NULLS LAST ROWS
              sum(w) OVER (ORDER BY top / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS open,
              (sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE AS budget FROM w),
 l AS (SELECT *, CASE WHEN (budget - filled) / open <= top / w THEN (budget - filled) / open END AS level FROM f),
-t AS (SELECT source, source_size, least(top, coalesce(min(level) OVER () * w, top))::DOUBLE AS target FROM l),
+t AS (SELECT source, source_size, least(top, coalesce(max(level) OVER () * w, top))::DOUBLE AS target FROM l),
 k AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS k FROM t),
 r AS (SELECT *, target - k * source_size AS rest FROM k),
 g AS (SELECT source, h, sum(size)::DOUBLE AS held FROM d GROUP BY source, h),
