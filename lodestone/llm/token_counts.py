@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .pieces import Pieces
 
 #: Entries of the broadcast table, rows that may be looked at to fill it, and characters of each.
-TABLE, SAMPLE_ROWS, SAMPLE_CHARS = 32_768, 2_000, 20_000
+TABLE, SAMPLE_ROWS, SAMPLE_CHARS = 32_768, 2_000, 4_000
 
 
 def frequent_lengths(docs: DataFrame, tokenizer: str, table: int = TABLE, sample_rows: int = SAMPLE_ROWS) -> dict[str, int]:
@@ -21,18 +21,11 @@ def frequent_lengths(docs: DataFrame, tokenizer: str, table: int = TABLE, sample
     a piece that is not in the table is encoded by the worker that meets it.
     """
 
-    def top(batches):
-        p, seen = Pieces(tokenizer), Counter()
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                seen.update(p.pieces(t))
-                if len(seen) > 20 * table:
-                    seen = Counter(dict(seen.most_common(4 * table)))
-        words = [w for w, n in seen.most_common(table) if n > 1]
-        yield pa.RecordBatch.from_pydict({"piece": pa.array(words, pa.string()), "n": pa.array([p.value(w) for w in words], pa.int64())})
-
-    some = docs.select(F.substring(F.coalesce("text", F.lit("")), 1, SAMPLE_CHARS).alias("t")).limit(sample_rows).coalesce(1)
-    return {r[0]: r[1] for r in some.mapInArrow(top, "piece string, n long").collect()}
+    some = docs.select(F.substring(F.coalesce("text", F.lit("")), 1, SAMPLE_CHARS)).limit(sample_rows).collect()  # reads as few partitions as it needs
+    p, seen = Pieces(tokenizer), Counter()
+    for r in some:
+        seen.update(p.pieces(r[0]))
+    return {w: p.value(w) for w, n in seen.most_common(table) if n > 1}
 
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, table: int = TABLE) -> DataFrame:
