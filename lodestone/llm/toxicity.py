@@ -1,6 +1,6 @@
 """Toxicity scores by nearest labelled examples.
 
-Features are words and word beginnings.  A bounded sample of labelled rows
+Features are words and word beginnings, also by how often and how densely they occur.  A bounded sample of labelled rows
 gives the examples; the features that tell the classes apart are kept, and examples
 and documents are TF-IDF vectors over them.  The nearest examples by exact
 cosine come from an inverted index in blocks with per-block maxima: blocks
@@ -27,15 +27,24 @@ PER_CLASS, FEATURES, NEIGHBOURS = 2000, 1024, 15
 #: Examples in an index block; lengths of word beginnings; entries of a worker's word table.
 BLOCK, STEMS, WORDS = 64, (4, 5, 6), 200_000
 #: Weight of the base rate among the votes, in units of similarity; least chi-squared of a kept feature.
-PRIOR, LEAST_CHI2 = 0.25, 20.0
+PRIOR, LEAST_CHI2 = 0.25, 45.0
 
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def features_of(word: str) -> list[str]:
+#: A term may also stand for "so often at least" and "once in so many words at least".
+TIMES, RARER = (2, 3, 4, 6), (12, 25, 50, 100, 200)
+
+
+def terms_of(word: str) -> list[str]:
     return [word, *[word[:n] + "*" for n in STEMS if len(word) > n]]
 
 
+def graded(term: str, n: int, words: int) -> list[str]:
+    """The features of a term that occurs ``n`` times in so many words."""
+    return [term, *[f"{term}@{k}" for k in TIMES if n >= k], *[f"{term}%{k}" for k in RARER if n * k >= words]]
+
+
 def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("null"))) % 5 == 0
 
@@ -71,23 +80,34 @@ class Model:
     levels: np.ndarray
 
     def __post_init__(self):
-        self.table = {n: i for i, n in enumerate(self.names)}
+        self.grades: dict[str, list[tuple[str, int, int]]] = {}  # term -> (kind, number, feature)
+        for i, name in enumerate(self.names):
+            term, kind, k = re.fullmatch(r"(.*?)(?:([@%])(\d+))?", name).groups()
+            self.grades.setdefault(term, []).append((kind or "", int(k or 1), i))
         n = len(self.ids)
         self.blocks = [slice(i, min(i + BLOCK, n)) for i in range(0, n, BLOCK)]
         self.top = (np.stack([self.vectors[b].max(0) for b in self.blocks], 1) if self.blocks else np.zeros((len(self.names), 0), np.float32))
 
     def counts(self, text: str, words: dict) -> Counter:
-        found = []
-        for w in _WORD.findall(text.lower()):
+        """Features of a text and how often each occurs; ``words`` caches the terms of words."""
+        found, every = [], _WORD.findall(text.lower())
+        for w in every:
             f = words.get(w)
             if f is None:
-                f = tuple(i for i in map(self.table.get, features_of(w)) if i is not None)
+                f = tuple(t for t in terms_of(w) if t in self.grades)
                 if len(words) >= WORDS:
                     words.clear()
                 words[w] = f
             if f:
                 found += f
-        return Counter(found)
+        out: Counter = Counter()
+        for term, n in Counter(found).items():
+            for kind, k, i in self.grades[term]:
+                if not kind:
+                    out[i] = n
+                elif n >= k if kind == "@" else n * k >= len(every):
+                    out[i] = 1
+        return out
 
     def vector(self, counts: list[Counter]) -> np.ndarray:
         q = np.zeros((len(counts), len(self.names)), np.float32)
@@ -165,8 +185,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, n_featur
 
     def each(batches):
         for b in batches:
-            out = [(f, y) for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist())
-                   for f in {f for w in set(_WORD.findall(t.lower())) for f in features_of(w)}]
+            out = []
+            for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                every = _WORD.findall(t.lower())
+                for term, n in Counter([f for w in every for f in terms_of(w)]).items():
+                    out += [(f, y) for f in graded(term, n, len(every))]
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.int32())], names=["f", "y"])
 
     n = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
