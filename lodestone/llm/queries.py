@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing, suffix_dedup, token_counts, token_files, toxicity
+from . import chat, decontaminate, embed_dedup, mixing, ngram_join, suffix_dedup, token_counts, token_files, toxicity
 from .common import read_table
 
 
@@ -14,6 +14,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(read_table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     odd = spark.createDataFrame([(-1, 0, "user", chat.ODD_TEXT), (-1, 1, "assistant", chat.ODD_TEXT)], "conv_id long, turn long, role string, text string")
@@ -36,11 +40,22 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2.0)
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_join(read_table(spark, sf_dir, "documents"), n=4, num=85, den=100)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
     return found.select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op4_chat_formatting, op5_suffix_dedup, op6_token_counts, op7_token_files, op8_mixing, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (
+    op2_decontamination, op3_embedding_dedup, op4_chat_formatting, op5_suffix_dedup, op6_token_counts, op7_token_files, op8_mixing,
+    op9_ngram_join, op10_toxicity)}
 
-ORACLE_SQL = {"op4_chat_formatting": chat.ORACLE, "op8_mixing": mixing.ORACLE}
+ORACLE_SQL = {
+    "op3_embedding_dedup": embed_dedup.ORACLE,
+    "op4_chat_formatting": chat.ORACLE,
+    "op8_mixing": mixing.ORACLE,
+    "op9_ngram_join": ngram_join.ORACLE,
+}
