@@ -337,7 +337,7 @@ WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(w) - 2), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) END AS s FROM w),
+    ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] for i in range(1, len(w) - 2)]) END AS s FROM w),
 n AS (SELECT doc_id, len(s) AS n, s FROM s),
 c AS (SELECT min(doc_id) AS rep, n, list_sort(s) AS s FROM n WHERE n > 0 GROUP BY n, list_sort(s)),
 m AS (SELECT n.doc_id, n.n, c.rep FROM n LEFT JOIN c ON c.n = n.n AND c.s = list_sort(n.s)),
