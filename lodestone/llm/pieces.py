@@ -32,6 +32,37 @@ def byte_letters() -> list[str]:
     return out
 
 
+class _Cache(dict):
+    """Values of pieces: the table of frequent ones, and rare ones in two generations of which the older goes when the younger is full."""
+
+    def __init__(self, coder: Pieces, known: dict):
+        super().__init__(known)
+        self.coder, self.known, self.old = coder, known, {}
+
+    def __missing__(self, piece: str):
+        v = self.old.get(piece)
+        if v is None:
+            v = self.coder.fresh(piece)
+        if len(self) >= len(self.known) + CACHE // 2:
+            self.old = dict(self)
+            self.clear()
+            self.update(self.known)
+        self[piece] = v
+        return v
+
+
+_LOADED: dict[tuple, Pieces] = {}
+
+
+def worker_pieces(path: str, known: dict | None = None, ids: bool = False) -> Pieces:
+    """This worker's coder, kept with its cache from one task to the next."""
+    key = (path, ids)
+    if key not in _LOADED:
+        _LOADED.clear()
+        _LOADED[key] = Pieces(path, known, ids)
+    return _LOADED[key]
+
+
 class Pieces:
     """Encodes texts piece by piece; ``known`` is a table of frequent pieces."""
 
@@ -50,7 +81,7 @@ class Pieces:
         probe = " \xc9ab,"
         self.plain = True
         self.plain = self.fresh(probe) == self.slow(probe)
-        self.known, self.young, self.old = dict(known or {}), {}, {}
+        self.cache = _Cache(self, known or {})
 
     def pack(self, ids: list[int]):
         return np.array(ids, self.dtype).tobytes() if self.ids else len(ids)
@@ -71,39 +102,25 @@ class Pieces:
             ids += [t.id for t in self.model.tokenize(mark)]
         return self.pack(ids)
 
-    def __missing__(self, piece: str):
-        v = self.old.get(piece)
-        if v is None:
-            v = self.fresh(piece)
-        if len(self.young) >= CACHE // 2:
-            self.old, self.young = self.young, {}
-        self.young[piece] = v
-        return v
-
     def value(self, piece: str):
-        v = self.known.get(piece)
-        if v is None:
-            v = self.young.get(piece)
-            if v is None:
-                v = self.__missing__(piece)
-        return v
+        return self.cache[piece]
 
     def pieces(self, text: str) -> list[str]:
-        return text.split() if self.lower and text.isascii() and not _CONTROL.search(text) else _PIECES.findall(text)
+        # str.split() knows the same white space and four control characters besides.
+        if self.lower and not ("\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text):
+            return text.split()
+        return _PIECES.findall(text)
 
     def each(self, text: str):
         """The values of the text's parts, special strings among them."""
         if self.cut is None or "<|" not in text:
-            return map(self.value, self.pieces(text))
+            return map(self.cache.__getitem__, self.pieces(text))
         parts = self.cut.split(text)
         return chain.from_iterable(
-            [self.pack([self.special[p]])] if i % 2 else map(self.value, self.pieces(p)) for i, p in enumerate(parts))
+            [self.pack([self.special[p]])] if i % 2 else map(self.cache.__getitem__, self.pieces(p)) for i, p in enumerate(parts))
 
     def count(self, text: str) -> int:
         return sum(self.each(text))
 
     def encode(self, text: str) -> bytes:
         return b"".join(self.each(text))
-
-
-_CONTROL = re.compile("[\x1c-\x1f]")

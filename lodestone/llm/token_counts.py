@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pieces import Pieces
+from .pieces import Pieces, worker_pieces
 
 #: Entries of the broadcast table, rows that may be looked at to fill it, and characters of each.
 TABLE, SAMPLE_ROWS, SAMPLE_CHARS = 32_768, 2_000, 4_000
@@ -41,7 +41,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, table: int
     known = spark.sparkContext.broadcast(frequent_lengths(docs, tokenizer, table))
 
     def count(batches):
-        p = Pieces(tokenizer, known.value)
+        p = worker_pieces(tokenizer, known.value)
         for b in batches:
             ids, texts = b.column(0), b.column(1)
             n_tokens, n_bytes = [], []

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import file_system, fresh_dir
-from .pieces import Pieces
+from .pieces import worker_pieces
 
 SEQ_LEN, BATCH_ROWS = 2048, 128
 _INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -104,7 +104,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, out_dir: str | None = Non
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
                 if w is None:
-                    p = Pieces(tokenizer, ids=True)
+                    p = worker_pieces(tokenizer, ids=True)
                     w = _Writer(out_dir, p.dtype, seq_len)
                     tail = b"" if end_id is None else np.array([end_id], p.dtype).tobytes()
                 w.add(doc_id, p.encode(text.as_py() or "") + tail)
