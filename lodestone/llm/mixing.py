@@ -53,8 +53,8 @@ def document_hash(doc_id: Column) -> Column:
     return F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("null"))), 1, DIGITS * LEVELS)
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """``doc_id, size, source_size, target, taken`` for every row of ``docs(doc_id, text, source)``.
+def _plan(docs: DataFrame, weights: tuple[int, ...], share: float, most: float) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, source, size`` of every row, and one row per source with its target and its threshold.
 
     A source whose target is k times its size and r words more takes each
     document k times and, once more, those whose hash lies below a threshold.
@@ -63,10 +63,6 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     bucket alone, ``LEVELS`` times.  The last bucket, by then at most the rows
     of a few ids, goes in if that brings the source nearer to its target.
     Nothing is sorted but histograms of at most 16**DIGITS buckets a source.
-
-    Null text: size 0.  A null source is a source (the last); null ids share a
-    hash; rows with one id are taken together, so repeated rows stay
-    deterministic; an empty table gives no rows; other columns are ignored.
     """
     d = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
                         word_count(F.col("text").cast("string")).alias("size")))
@@ -74,20 +70,41 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     limits = targets.select("source", "source_size", "target", whole.alias("k")).select(
         "*", (F.col("target") - F.col("k") * F.col("source_size")).alias("rest"), F.lit("").alias("edge"), F.lit(0.0).alias("before"))
-
     hashed = d.select("source", "size", document_hash(F.col("doc_id")).alias("h"))
-    last = None
     for level in range(LEVELS):
         limits = _refine(hashed, limits, DIGITS * (level + 1))
-        if level == LEVELS - 1:
-            last = limits
     # ``edge`` is now the whole hash of the boundary bucket, ``before`` the words below it, ``held`` the words in it.
-    cuts = last.select(F.col("source").alias("s"), "source_size", "target", "k", "edge",
-                       (F.abs(F.col("before") + F.col("held") - F.col("rest")) < F.abs(F.col("before") - F.col("rest"))).alias("closed"))
-    out = d.select("*", document_hash(F.col("doc_id")).alias("h")).join(cuts, F.col("source").eqNullSafe(F.col("s")))
-    once = F.when(F.col("edge").isNotNull() & ((F.col("h") < F.col("edge")) | (F.col("closed") & (F.col("h") == F.col("edge")))), 1).otherwise(0)
-    return out.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target",
-                      ((F.col("k") + once) * F.col("size")).cast("long").alias("taken"))
+    nearer = F.abs(F.col("before") + F.col("held") - F.col("rest")) < F.abs(F.col("before") - F.col("rest"))
+    cuts = limits.select(F.col("source").alias("_mix_source"), F.col("source_size").cast("long").alias("_mix_source_size"), F.col("target").alias("_mix_target"),
+                         F.col("k").alias("_mix_k"), F.col("edge").alias("_mix_edge"), nearer.alias("_mix_closed"))
+    return d, cut(cuts)  # written, so that its size is known when it is joined
+
+
+def _taken_times(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+    """``rows`` with the cuts' columns and ``_mix_times``: how often each row is taken."""
+    h = document_hash(F.col("doc_id").cast("long"))
+    once = F.col("_mix_edge").isNotNull() & ((h < F.col("_mix_edge")) | (F.col("_mix_closed") & (h == F.col("_mix_edge"))))
+    return rows.join(cuts, F.col("source").cast("string").eqNullSafe(F.col("_mix_source"))).withColumn(
+        "_mix_times", (F.col("_mix_k") + F.when(once, 1).otherwise(0)).cast("int"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """``doc_id, size, source_size, target, taken`` for every row of ``docs(doc_id, text, source)``.
+
+    Null text: size 0.  A null source is a source (the last); null ids share a
+    hash; rows with one id are taken together, so repeated rows stay
+    deterministic; an empty table gives no rows; other columns are ignored.
+    """
+    d, cuts = _plan(docs, weights, share, most)
+    return _taken_times(d, cuts).select("doc_id", "size", F.col("_mix_source_size").alias("source_size"), F.col("_mix_target").alias("target"),
+                                        (F.col("_mix_times") * F.col("size")).cast("long").alias("taken"))
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """The mix itself: the rows of ``docs``, all columns, each as often as it is taken."""
+    cuts = _plan(docs, weights, share, most)[1]
+    rows = _taken_times(docs, cuts)
+    return rows.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(1), F.col("_mix_times")))).select(*[rows[c] for c in docs.columns])
 
 
 def _refine(hashed: DataFrame, limits: DataFrame, digits: int) -> DataFrame:

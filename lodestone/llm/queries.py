@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, embed_dedup, mixing, ngram_join, suffix_dedup, token_counts, token_files, toxicity
+from . import chat, decontaminate, embed_dedup, mixing, ngram_join, passages, suffix_dedup, token_counts, token_files, toxicity
 from .common import read_table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.passages(read_table(spark, sf_dir, "documents"), words=50, similarity=0.8, n=5)
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -50,7 +54,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_decontamination, op3_embedding_dedup, op4_chat_formatting, op5_suffix_dedup, op6_token_counts, op7_token_files, op8_mixing,
+    op1_substring_dedup, op2_decontamination, op3_embedding_dedup, op4_chat_formatting, op5_suffix_dedup, op6_token_counts, op7_token_files, op8_mixing,
     op9_ngram_join, op10_toxicity)}
 
 ORACLE_SQL = {

@@ -264,3 +264,18 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score(docs, fit(docs, labels))
+
+
+def without_toxic(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
+    """``docs`` without the rows that score ``limit`` or more; all columns kept, nothing shuffled."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def keep(batches):
+        m, words = shared.value, {}
+        for b in batches:
+            for lo in range(0, b.num_rows, 1024):
+                part = b.slice(lo, 1024)
+                idx, sims = m.nearest(m.vector([m.counts(t.as_py() or "", words) for t in part.column(at)]))
+                yield part.filter(pa.array(m.calibrated(m.raw(idx, sims)) < limit))
+
+    return docs.mapInArrow(keep, docs.schema)
