@@ -39,11 +39,18 @@ class Blocks:
         return self.frame.groupBy("g")
 
 
-def text_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> Blocks:
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def text_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, whole_rows: bool = False) -> Blocks:
+    """``whole_rows``: the other columns go along, as a struct ``rest``; see ``rows_of``."""
+    rest = [F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns) if c != "text"], docs["text"].isNull().alias("no_text")).alias("rest")] if whole_rows else []
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *rest)
     total = d.agg(F.sum(F.octet_length("text") + 40)).first()[0] or 0
     n = int(max(4, -(-total // block_bytes)))
-    return Blocks(d.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("g")), n)
+    return Blocks(d.select("doc_id", "text", *(["rest"] if whole_rows else []), F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("g")), n)
+
+
+def rows_of(kept: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` from ``kept(text, rest)``."""
+    return kept.select(*[(F.when(~F.col("rest.no_text"), F.col("text")) if c == "text" else F.col(f"rest.c{i}")).alias(c) for i, c in enumerate(docs.columns)])
 
 
 def ids_of(table: pa.Table) -> np.ndarray:

@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .blocks import BLOCK_BYTES, bucket_of, ids_of, is_shared, known_keys, pack, shared_keys, text_blocks, texts_of, unpack
+from .blocks import BLOCK_BYTES, Blocks, bucket_of, ids_of, in_sorted, is_shared, known_keys, pack, rows_of, shared_keys, text_blocks, texts_of, unpack
 from .common import NULL_ID, components, cut, gram_hashes, mix64, space_table, span_hashes, words_of
 from .embed_dedup import spanning
 
@@ -191,7 +192,32 @@ def jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, blo
     Rows of one ``doc_id`` are one node; rows without an id link with nothing and have a null component.
     Empty tables give no rows; other columns are ignored.
     """
-    b = text_blocks(docs, block_bytes)
+    return _join(text_blocks(docs, block_bytes), n, num, den, tile).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def deduplicate(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, block_bytes: int = BLOCK_BYTES, tile: int = TILE) -> DataFrame:
+    """The rows of ``docs``, all columns, without those that ``jaccard_join`` links to one of smaller id.
+
+    Of several rows of one id the one of least block and text stays; rows without an id all stay.
+    """
+    b = text_blocks(docs, block_bytes, whole_rows=True)
+    keep = _join(b, n, num, den, tile).where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.min("g").alias("g"))
+
+    def pick(left, right):
+        if not left.num_rows:
+            return left.select(["rest", "text"])
+        ids, good = ids_of(left), np.sort(right.column("doc_id").to_numpy()) if right.num_rows else np.zeros(0, np.int64)
+        order = np.array(sorted(range(len(ids)), key=lambda i, t=left.column("text").to_pylist(): (ids[i], t[i])))
+        first = np.ones(len(ids), bool)
+        first[order[1:]] = ids[order[1:]] != ids[order[:-1]]
+        return left.filter(pa.array((ids == NULL_ID) | (first & in_sorted(ids, good)))).select(["rest", "text"])
+
+    kept = b.grouped().cogroup(keep.groupBy("g")).applyInArrow(pick, T.StructType([b.frame.schema["rest"], b.frame.schema["text"]]))
+    return rows_of(kept, docs)
+
+
+def _join(b: Blocks, n: int, num: int, den: int, tile: int) -> DataFrame:
+    """``doc_id, g, n, component_id`` of every row."""
     n_blocks = b.n
 
     def digest(table):
@@ -265,10 +291,10 @@ def jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, blo
     roots = classes.join(comps, F.col("rep") == F.col("k"), "left").select(
         F.col("n").alias("cn"), F.col("s1").alias("c1"), F.col("s2").alias("c2"), F.coalesce("c", "rep").alias("root"))
     out = digests.join(roots, (F.col("n") == F.col("cn")) & (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")) & F.col("doc_id").isNotNull(), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
+    return out.select("doc_id", "g", "n", F.coalesce("root", "doc_id").alias("component_id"))
 
 
-def _verify(b, digests: DataFrame, clusters: DataFrame, n: int, num: int, den: int, tile: int) -> DataFrame:
+def _verify(b: Blocks, digests: DataFrame, clusters: DataFrame, n: int, num: int, den: int, tile: int) -> DataFrame:
     """Exact links (``a``, ``b``: least ids of two sets) that connect the sets of each cluster.
 
     A cluster of at most ``tile`` sets is compared in one place.  A larger one is cut into bands of
