@@ -32,3 +32,15 @@ def ship_code(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, os.path.dirname(here)))
     sc.addPyFile(path)
     sc._lodestone_code = True
+
+
+def settle(df):
+    """``df`` written to the checkpoint folder that all executors share, its lineage cut there.
+
+    The folder is ``spark.checkpoint.dir``; one of our own is used only where none is set.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="lodestone-checkpoint-"))
+    return df.checkpoint()
