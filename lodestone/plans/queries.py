@@ -37,7 +37,9 @@ _SPACE = r"[\s\p{Z}\x{85}\x{0b}\x{1c}-\x{1f}]+"
 _PUNCT = r"[^\p{L}\p{N}_\s\p{Z}]"
 _NORM = f"regexp_replace(lower(regexp_replace(text, '{_SPACE}', ' ', 'g')), '{_PUNCT}', '', 'g')"
 _TEXT = f"t AS (SELECT doc_id, {_NORM} AS t FROM documents)"
-_SHINGLES = _TEXT + f", s AS (SELECT doc_id, CASE WHEN length(t) < {K} THEN [] ELSE [substr(t, i, {K}) for i in range(1, length(t) - {K - 2})] END AS s FROM t)"
+_CHARS = "string_split(t, '')"
+_SHINGLES = _TEXT + (f", chars AS (SELECT doc_id, t, {_CHARS} AS c FROM t), s AS (SELECT doc_id, CASE WHEN length(t) < {K} THEN [] ELSE ["
+                     + " || ".join(f"c[i + {j}]" for j in range(K)) + f" for i in range(1, length(t) - {K - 2})] END AS s FROM chars)")
 _HASHES = _SHINGLES + ", h AS (SELECT doc_id, ('0x' || substr(md5(x), 1, 8))::BIGINT AS h FROM (SELECT DISTINCT doc_id, unnest(s) AS x FROM s))"
 
 
