@@ -193,8 +193,8 @@ def swap_sequential(graph: DataFrame, config: PartitionConfig) -> DataFrame:
         run = _Run({int(i): [int(x) for x in a] for i, a in zip(pdf.id, pdf.neighbours)}, config)
         return pd.DataFrame(list(run.rounds()), columns=["round", "edge_cut", "swaps", "migrations"])
 
-    key = "run" if "run" in graph.columns else F.lit(0)
-    return graph.groupBy(key).applyInPandas(play, "round int, edge_cut long, swaps long, migrations long")
+    one = graph if "run" in graph.columns else graph.withColumn("run", F.lit(0))
+    return one.groupBy("run").applyInPandas(play, "round int, edge_cut long, swaps long, migrations long")
 
 
 def swap_rounds(nodes: DataFrame, arcs: DataFrame, config: PartitionConfig, rounds: int | None = None) -> tuple[DataFrame, list[tuple[int, int, int]]]:

@@ -38,7 +38,7 @@ def _dense(matrix: DataFrame, k: int) -> tuple[list[float], DataFrame]:
         top = np.argsort(-values, kind="stable")[:k]
         return pd.DataFrame({"node": ids, "vec": list(vectors[:, top]), "values": [values[top]] * len(ids)})
 
-    out = settle(matrix.groupBy(F.lit(1)).applyInPandas(solve, "node long, vec array<double>, values array<double>"))
+    out = settle(matrix.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(solve, "node long, vec array<double>, values array<double>"))
     first = out.select("values").first()
     return (list(first[0]) if first else []), out.select("node", "vec")
 
