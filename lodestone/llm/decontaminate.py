@@ -181,11 +181,14 @@ def matches(texts: list[str | None], b: Block, coverage: float = COVERAGE, agree
         diag, pos = hit[2, lo:hi], hit[3, lo:hi]
         slack = max(1, len(b.kind[item]) // 10)  # words put in or left out move the alignment
         best = None
-        for c in np.unique(diag):
-            near = (diag >= c) & (diag <= c + slack)
-            got = len(np.unique(pos[near]))
-            if got >= need and (best is None or got > best[0]):
-                best = (got, diag[near], pos[near])
+        for wide in (0, slack):  # a single diagonal that will do is taken alone
+            for c in np.unique(diag):
+                near = (diag >= c) & (diag <= c + wide)
+                got = len(np.unique(pos[near]))
+                if got >= need and (best is None or got > best[0]):
+                    best = (got, diag[near], pos[near])
+            if best is not None:
+                break
         if best is None:
             continue
         w = min(WINDOW, len(b.kind[item]))
@@ -197,8 +200,8 @@ def matches(texts: list[str | None], b: Block, coverage: float = COVERAGE, agree
                 votes[int(b.kind[item][i]), int(b.value[item][i])][int(t.value[a + j])] += 1
         slots = sum(sum(v.values()) for v in votes.values())
         agree = sum(max(v.values()) for v in votes.values()) / slots if slots else 1.0
-        if slots == len(pairs) and any(len(v) > 1 for v in votes.values()):
-            continue  # nothing but placeholders, and they differ
+        if slots == len(pairs) and any(set(v) != {value} for (_, value), v in votes.items()):
+            continue  # nothing but placeholders: only the same values are the same question
         if agree >= agreement:
             at = [j for _, j in pairs]
             out.append((int(text), b.ids[item], best[0] / b.n_windows[item], min(at), max(at) + 1, slots, agree))
