@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import NULL_ID
 
 #: Bytes of text in a block, on average.
-BLOCK_BYTES = 6_000_000
+BLOCK_BYTES = 4_000_000
 
 _HASH32 = np.uint64(32)
 _LOW32 = np.uint64(0xFFFFFFFF)
