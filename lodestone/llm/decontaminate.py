@@ -6,6 +6,9 @@ of the documents are looked up in a table of the benchmark's windows; where
 enough of an item's windows lie along one alignment, the values behind the
 placeholders are compared: one value of the item must stand for one value in
 the document throughout.
+
+A capital tells a name only inside a sentence, so texts have three readings, each looked up in its own table:
+names by capitals inside sentences, by capitals anywhere but on common opening words, and none at all.
 """
 
 from __future__ import annotations
@@ -32,8 +35,16 @@ meter meters metre metres gram grams kilogram kilograms kilometer kilometers dol
 degree degrees mph kmh hz khz mhz ghz kb mb gb tb w kw v volt volts watt watts joule joules newton newtons""".split()
 NUMBER_WORDS = """zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen
 seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion""".split()
+#: Words that open sentences and are no names.
+OPENERS = """a an the this that these those there here it its he she they we you i his her their our your my one each every all some
+any no both how what when where which who whom whose why if then so and but or for in on at by from to of with without as after before
+during while since until because although though given suppose assume let is are was were be do does did has have had can could will
+would should may might must not now next later today yesterday finally first second third also however therefore find calculate compute solve
+determine evaluate simplify write show prove explain describe choose select consider use give name list answer question""".split()
 
 _PLAIN, _NUMBER, _NAME, _UNIT = range(4)
+#: Readings of capitals: inside sentences, anywhere but on openers, nowhere.
+_INSIDE, _ANYWHERE, _NOWHERE = range(3)
 _SLOT = mix64(np.arange(101, 105))
 
 
@@ -60,6 +71,10 @@ class Tokens:
     value: np.ndarray
     text: np.ndarray
     first: np.ndarray
+    kinds: tuple[np.ndarray, ...] = ()
+
+    def read(self, reading: int) -> Tokens:
+        return Tokens(self.kinds[reading], self.value, self.text, self.first)
 
     @property
     def template(self) -> np.ndarray:
@@ -91,12 +106,16 @@ def tokens(texts: list[str | None]) -> Tokens:
     if len(s) > 1:
         opens[1:] = (stops[s[1:]] > stops[e[:-1]]) | (text[1:] != text[:-1])
     capital = ((buf[s] >= 65) & (buf[s] <= 90)) | ((e - s > 1) & wide[np.minimum(s + 1, max(len(buf) - 1, 0))]) if len(s) else np.zeros(0, bool)
-    kind = np.where(digit[s] if len(s) else np.zeros(0, bool), _NUMBER, np.where(capital & ~opens, _NAME, _PLAIN))
-    kind[np.isin(value, _listed(NUMBER_WORDS)) & (kind == _PLAIN)] = _NUMBER
-    if len(s) > 1:
-        unit = np.isin(value[1:], _listed(UNITS)) & (kind[:-1] == _NUMBER) & (text[1:] == text[:-1]) & (kind[1:] != _NUMBER)
-        kind[1:][unit] = _UNIT
-    return Tokens(kind, value, text, first)
+    numeral, measure = np.isin(value, _listed(NUMBER_WORDS)), np.isin(value, _listed(UNITS))
+    kinds = []
+    for name in (capital & ~opens, capital & ~numeral & ~np.isin(value, _listed(OPENERS)), np.zeros(len(s), bool)):
+        kind = np.where(digit[s] if len(s) else np.zeros(0, bool), _NUMBER, np.where(name, _NAME, _PLAIN))
+        kind[numeral & (kind == _PLAIN)] = _NUMBER
+        if len(s) > 1:
+            unit = measure[1:] & (kind[:-1] == _NUMBER) & (text[1:] == text[:-1]) & (kind[1:] != _NUMBER)
+            kind[1:][unit] = _UNIT
+        kinds.append(kind)
+    return Tokens(kinds[_INSIDE], value, text, first, tuple(kinds))
 
 
 @dataclass
@@ -112,11 +131,19 @@ class Block:
     at: dict[int, np.ndarray]
     item: dict[int, np.ndarray]
     pos: dict[int, np.ndarray]
+    others: tuple[Block, ...] = ()
 
 
 def block(items: list[tuple]) -> Block:
-    """Items without tokens have no windows; one of fewer than ``WINDOW`` tokens is one window of its own length."""
+    """The first reading of some items, with the ``others``."""
     t = tokens([x for _, x in items])
+    out, *others = (_block(items, t.read(k)) for k in (_INSIDE, _ANYWHERE, _NOWHERE))
+    out.others = tuple(others)
+    return out
+
+
+def _block(items: list[tuple], t: Tokens) -> Block:
+    """Items without tokens have no windows; one of fewer than ``WINDOW`` tokens is one window of its own length."""
     sizes = np.diff(t.first)
     n = np.where(sizes > 0, np.maximum(sizes - WINDOW + 1, 1), 0)
     out = Block([i for i, _ in items], [], [], n, sorted({int(min(WINDOW, x)) for x in sizes if x}), {}, {}, {}, {})
@@ -152,8 +179,16 @@ def blocks(benchmark: DataFrame, chars: int = BLOCK_CHARS) -> Iterator[Block]:
 
 
 def matches(texts: list[str | None], b: Block, coverage: float = COVERAGE, agreement: float = AGREEMENT) -> list[tuple]:
-    """(text number, item id, coverage, first and last token, slots, agreement) of every leak."""
+    """(text number, item id, coverage, first and last token, slots, agreement) of every leak, by the first reading that shows it."""
     t = tokens(texts)
+    out = _matches(t, b, coverage, agreement)
+    for k, other in enumerate(b.others, 1):
+        seen = {m[:2] for m in out}
+        out += [m for m in _matches(t.read(k), other, coverage, agreement) if m[:2] not in seen]
+    return out
+
+
+def _matches(t: Tokens, b: Block, coverage: float, agreement: float) -> list[tuple]:
     template, hits = t.template, []
     for w in b.lengths:
         h = gram_hashes(template, w)

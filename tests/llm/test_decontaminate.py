@@ -88,3 +88,13 @@ def test_rows_stay_whole(spark):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert sorted(map(tuple, D.without_leaks(docs, bench).collect())) == [(1, "a b c", "k"), (3, None, None)]
     assert np.isclose(D.COVERAGE, 0.8)
+
+
+def test_names_that_open_sentences(spark):
+    item = "Tom has 3 apples. Tom buys 4 more. Tom eats 2. How many apples are left?"
+    sam = "Sam has 5 apples. Sam buys 9 more. Sam eats 1. How many apples are left?"
+    capital = "What is the capital of France and of Spain?"
+    items = [(1, item), (2, capital)]
+    rows = [(1, sam), (2, "Before it. " + sam + " After it."), (3, item.replace("buys", "\nbuys").replace(". Tom", ", Tom")), (4, item.lower()), (5, item.upper()),
+            (6, capital.upper()), (7, sam.replace("Sam eats", "Eve eats").replace("Sam buys", "Bob buys")), (8, "Paris is the capital of France. Rome is the capital of Italy."), (9, "They ate. How many are left?")]
+    assert leaks(spark, rows, items, agreement=0.9) == [(1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (6, 2)]
