@@ -342,18 +342,24 @@ def triangles_local_endpoints(spark, d):
     return graph.triangles_local_endpoints(_edges(spark, d))
 
 
-#: A sample that holds every edge makes the estimates exact.
-WHOLE, SAMPLE, REPLICAS = 10_000_000, 2_000, 8
+SAMPLE, REPLICAS = 2_000, 8
+
+
+def _whole(edges: DataFrame) -> int:
+    """Room for every edge, which makes the estimates exact."""
+    return max(edges.count(), SAMPLE)
 
 
 @register(f"WITH {_TRI} SELECT 0 AS replica, (SELECT count(*) FROM e) AS seen, count(*)::DOUBLE AS estimate FROM t")
 def triest_base_full(spark, d):
-    return reservoir.stream_estimates(_raw(spark, d), WHOLE)
+    e = _raw(spark, d)
+    return reservoir.stream_estimates(e, _whole(e))
 
 
 @register(f"WITH {_TRI} SELECT 0 AS replica, (SELECT count(*) FROM e) AS seen, count(*)::DOUBLE AS estimate FROM t")
 def triest_improved_full(spark, d):
-    return reservoir.stream_estimates(_raw(spark, d), WHOLE, improved=True)
+    e = _raw(spark, d)
+    return reservoir.stream_estimates(e, _whole(e), improved=True)
 
 
 @register()

@@ -166,3 +166,16 @@ def test_cooling():
     t, at = partition.cool(1e-4, 399, c)
     assert (t, at) == (2.0, 0) and partition.cool(1.001, 0, partition.PartitionConfig())[0] == 1.0
     assert partition.cool(2.0, 0, partition.PartitionConfig())[0] == 2.0 - float(np.float32(0.003))
+
+
+def test_full_estimates_hold_every_edge(spark, tmp_path, monkeypatch):
+    from lodestone.plans import queries
+    monkeypatch.setattr(queries, "WHOLE", 20, raising=False)
+    monkeypatch.setattr(queries, "SAMPLE", 20)
+    users = [(i * i + i // 3) % 23 for i in range(200)]
+    spark.createDataFrame(list(enumerate(users)), "event_id long, user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    e = {(min(x, y), max(x, y)) for x, y in zip(users, users[1:]) if x != y}
+    n = sum((a, c) in e for a, b in e for b2, c in e if b == b2)
+    for q in (queries.triest_base_full, queries.triest_improved_full):
+        got = q(spark, str(tmp_path)).first()
+        assert (got["seen"], got["estimate"]) == (len(e), n) and len(e) > 20 and n
