@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID
+from .common import NULL_ID, released
 
 #: Bytes of text in a block, on average.
 BLOCK_BYTES = 4_000_000
@@ -120,8 +120,8 @@ def shared_keys(b: Blocks, keys_of: Callable[[pa.Table], tuple[np.ndarray, np.nd
                 out.append(np.sort(mine).tobytes())
         return pa.table({"g": pa.array(gs, pa.int32()), "bucket": pa.array([table.column("bucket")[0].as_py()] * len(gs), pa.int32()), "keys": pa.array(out, pa.binary())})
 
-    sent = b.grouped().applyInArrow(send, "bucket int, g int, one binary, many binary")
-    return sent.groupBy("bucket").applyInArrow(meet, "g int, bucket int, keys binary")
+    sent = b.grouped().applyInArrow(released(send), "bucket int, g int, one binary, many binary")
+    return sent.groupBy("bucket").applyInArrow(released(meet), "g int, bucket int, keys binary")
 
 
 def in_sorted(x: np.ndarray, table: np.ndarray) -> np.ndarray:

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-import os
+import ctypes
+import re
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+try:
+    _LIBC = ctypes.CDLL(None)
+except (OSError, TypeError):  # no libc of that kind here
+    _LIBC = None
+
 #: Stands for a null document id where ids are compared as integers.
 NULL_ID = np.iinfo(np.int64).max
 
@@ -19,9 +26,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees; one of our own only where none is set."""
+    """The folder that every executor sees: ``spark.checkpoint.dir``.  A folder of our own serves local mode only."""
     named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="lodestone-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)
@@ -38,18 +47,58 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = fresh_dir(spark, "cut")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the folder of a ``cut`` frame that nothing reads any more."""
+    hadoop_path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._cut_at)
+    hadoop_path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
+def qualified(spark: SparkSession, uri: str) -> str:
+    """``uri`` with the scheme and host that the cluster's Hadoop configuration gives it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 def file_system(uri: str):
-    """(pyarrow file system, path) of a folder or file named by URI or local path."""
+    """(pyarrow file system, path) of a qualified URI, or of a local path without a scheme.
+
+    Schemes that pyarrow can't open raise a ``ValueError`` that says so: nothing falls back on an executor's own disk.
+    """
     from pyarrow import fs
 
-    if "://" not in uri and not uri.startswith("file:"):
-        return fs.LocalFileSystem(), uri
     if uri.startswith("file:"):
         return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
-    return fs.FileSystem.from_uri(uri)
+    if not re.match(r"[A-Za-z][\w+.-]*:", uri):
+        return fs.LocalFileSystem(), uri
+    try:
+        return fs.FileSystem.from_uri(uri)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError) as e:
+        raise ValueError(f"executors can't open {uri!r}: name a folder that pyarrow's file systems know") from e
+
+
+def release() -> None:
+    """Gives a Python worker's freed memory back to the system; workers outlive their tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(_LIBC, "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def released(f):
+    """``f``, a function of one table, two, or a key and two, with ``release`` after each call."""
+
+    def run(args):
+        try:
+            return f(*args)
+        finally:
+            release()
+
+    return {1: lambda a: run((a,)), 2: lambda a, b: run((a, b)), 3: lambda key, a, b: run((key, a, b))}[f.__code__.co_argcount]
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -85,7 +134,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not seen[0]:
             break
-        now = cut(star(star(now, True), False))
+        before, now = now, cut(star(star(now, True), False))
+        discard(before)
         was, seen = seen, mark(now)
         if was == seen:
             break
@@ -111,18 +161,19 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Positions whose powers are kept in a table; those of a later strip are these times one power of its own.
+STRIP = 1 << 16
 _BASE = 0x9E3779B97F4A7C15 | 1
-_POWERS: dict[bool, np.ndarray] = {}
 
 
-def _powers(n: int, inverse: bool) -> np.ndarray:
-    have = _POWERS.get(inverse)
-    if have is None or len(have) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
-        base = np.full(size, pow(_BASE, -1 if inverse else 1, 1 << 64), np.uint64)
-        base[0] = 1
-        have = _POWERS[inverse] = np.multiply.accumulate(base)
-    return have[:n]
+def _powers(base: int) -> np.ndarray:
+    steps = np.full(STRIP, base, np.uint64)
+    steps[0] = 1
+    return np.multiply.accumulate(steps)
+
+
+_UP, _DOWN = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
+_STRIP_UP, _STRIP_DOWN = (np.uint64(pow(_BASE, k, 1 << 64)) for k in (STRIP, -STRIP))
 
 
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -130,9 +181,19 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     n = len(values)
     if not len(starts):
         return np.zeros(0, np.uint64)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * _powers(n, False), out=total[1:])
-    raw = (total[ends] - total[starts]) * _powers(n + 1, True)[starts]
+    total, base = np.zeros(n + 1, np.uint64), np.ones(1, np.uint64)
+    for lo in range(0, n, STRIP):
+        part = values[lo:lo + STRIP].astype(np.uint64)
+        part += np.uint64(1)
+        part *= _UP[:len(part)]
+        part *= base
+        part[0] += total[lo]
+        np.cumsum(part, out=total[lo + 1:lo + 1 + len(part)])
+        base *= _STRIP_UP
+    strips = np.full(n // STRIP + 1, _STRIP_DOWN, np.uint64)
+    strips[0] = 1
+    back = np.multiply.accumulate(strips)[starts // STRIP] * _DOWN[starts % STRIP]
+    raw = (total[ends] - total[starts]) * back
     return mix64(raw ^ (ends - starts).astype(np.uint64) * _M2)
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import BLOCK_BYTES, Blocks, bucket_of, ids_of, in_sorted, is_shared, known_keys, pack, rows_of, shared_keys, text_blocks, texts_of, unpack
-from .common import NULL_ID, components, cut, gram_hashes, mix64, space_table, span_hashes, words_of
+from .common import NULL_ID, components, cut, gram_hashes, mix64, released, space_table, span_hashes, words_of
 from .embed_dedup import spanning
 
 #: Sets of a tile; groups of at most so many sets are compared by shifts, larger ones set by set.
@@ -212,7 +212,7 @@ def deduplicate(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, bloc
         first[order[1:]] = ids[order[1:]] != ids[order[:-1]]
         return left.filter(pa.array((ids == NULL_ID) | (first & in_sorted(ids, good)))).select(["rest", "text"])
 
-    kept = b.grouped().cogroup(keep.groupBy("g")).applyInArrow(pick, T.StructType([b.frame.schema["rest"], b.frame.schema["text"]]))
+    kept = b.grouped().cogroup(keep.groupBy("g")).applyInArrow(released(pick), T.StructType([b.frame.schema["rest"], b.frame.schema["text"]]))
     return rows_of(kept, docs)
 
 
@@ -273,10 +273,10 @@ def _join(b: Blocks, n: int, num: int, den: int, tile: int) -> DataFrame:
         keep = spanning(base, i, j)
         return pa.table({"a": pa.array(s1[i[keep]], pa.int64()), "b": pa.array(s1[j[keep]], pa.int64())})
 
-    digests = cut(b.grouped().applyInArrow(digest, "doc_id long, g int, n long, s1 long, s2 long"))
+    digests = cut(b.grouped().applyInArrow(released(digest), "doc_id long, g int, n long, s1 long, s2 long"))
     shared = shared_keys(b, keys)
-    sent = b.grouped().cogroup(shared.groupBy("g")).applyInArrow(send, "bucket int, n int, m int, low binary, idx binary, size binary, s1 binary, maps binary")
-    plausible = cut(sent.groupBy("bucket").applyInArrow(meet, "a long, b long").distinct())
+    sent = b.grouped().cogroup(shared.groupBy("g")).applyInArrow(released(send), "bucket int, n int, m int, low binary, idx binary, size binary, s1 binary, maps binary")
+    plausible = cut(sent.groupBy("bucket").applyInArrow(released(meet), "a long, b long").distinct())
     clusters = cut(components(plausible))
     links = _verify(b, digests, clusters, n, num, den, tile)
 
@@ -354,8 +354,8 @@ def _verify(b: Blocks, digests: DataFrame, clusters: DataFrame, n: int, num: int
             out += exact_links([x[:3] for x in sets], num, den, left if 0 < left < len(sets) else None)
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
-    arrays = b.grouped().cogroup(told.groupBy("g")).applyInArrow(send, "place string, c long, side int, n long, s1 long, s2 long, id long, a binary")
-    return cut(arrays.groupBy("place").applyInArrow(compare, "a long, b long"))
+    arrays = b.grouped().cogroup(told.groupBy("g")).applyInArrow(released(send), "place string, c long, side int, n long, s1 long, s2 long, id long, a binary")
+    return cut(arrays.groupBy("place").applyInArrow(released(compare), "a long, b long"))
 
 
 ORACLE = r"""
