@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import release
 from .pieces import Pieces, worker_pieces
 
 #: Entries of the broadcast table, rows that may be looked at to fill it, and characters of each.
@@ -23,8 +24,11 @@ def frequent_lengths(docs: DataFrame, tokenizer: str, table: int = TABLE, sample
 
     some = docs.select(F.substring(F.coalesce("text", F.lit("")), 1, SAMPLE_CHARS)).limit(sample_rows).collect()  # reads as few partitions as it needs
     p, seen = Pieces(tokenizer), Counter()
+    if p.form == "other":
+        return {}
     for r in some:
-        seen.update(p.pieces(r[0]))
+        if r[0].isascii():
+            seen.update(p.pieces(r[0]))
     return {w: p.value(w) for w, n in seen.most_common(table) if n > 1}
 
 
@@ -52,6 +56,8 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, table: int
             yield pa.RecordBatch.from_pydict({
                 "doc_id": ids, "n_bytes": pa.array(n_bytes, pa.int64()), "n_tokens": pa.array(n_tokens, pa.int64()),
                 "over_limit": pa.array([n > limit for n in n_tokens], pa.bool_())})
+        p.reset()
+        release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
         count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -1,11 +1,12 @@
 """Token ids in Arrow IPC files of fixed-size-list batches.
 
-A file holds record batches of two columns, ``tokens`` and ``mask``, both
+A file holds record batches of two columns, ``tokens`` and ``mask`` (bytes, 1 or 0), both
 fixed-size lists of one length: row ``i`` of a file is the ``i``-th sequence of
 its token stream, so a memory-mapped reader reaches any sequence and its mask
-without copying or scanning.  Documents run on from one sequence into the
+without copying or scanning.  Masks are dictionary-encoded: a file has two at most, that of whole sequences and that of its last one.  Documents run on from one sequence into the
 next; only the last sequence of a file is padded, and its mask says where.  An
-index file beside it has each document's id, start and length.
+index file beside it has each document's id, start and length, and the folder's ``manifest`` has the
+accepted files in order with the number of ids before each: files of failed or speculative attempts aren't in it.
 """
 
 from __future__ import annotations
@@ -18,11 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import file_system, fresh_dir
+from .common import file_system, fresh_dir, qualified, release
 from .pieces import worker_pieces
 
 SEQ_LEN, BATCH_ROWS = 2048, 128
 _INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
+_FILES = "file string, n_docs long, n_tokens long, before long"
 _MANIFEST = "file string, n_docs long, n_tokens long, first_id long"
 
 
@@ -33,9 +35,10 @@ class _Writer:
         self.fs, self.dir = file_system(out_dir)
         self.fs.create_dir(self.dir, recursive=True)
         self.name, self.seq, self.dtype = uuid.uuid4().hex, seq_len, dtype
-        self.schema = pa.schema([("tokens", pa.list_(pa.from_numpy_dtype(dtype), seq_len)), ("mask", pa.list_(pa.bool_(), seq_len))])
+        self.schema = pa.schema([("tokens", pa.list_(pa.from_numpy_dtype(dtype), seq_len)), ("mask", pa.dictionary(pa.int8(), pa.list_(pa.uint8(), seq_len)))])
         self.sink = self.fs.open_output_stream(f"{self.dir}/.{self.name}.tokens")
-        self.file = pa.ipc.new_file(self.sink, self.schema)
+        self.file = pa.ipc.new_file(self.sink, self.schema, options=pa.ipc.IpcWriteOptions(emit_dictionary_deltas=True))
+        self.masks = np.ones((1, seq_len), np.uint8)
         self.index_sink = self.fs.open_output_stream(f"{self.dir}/.{self.name}.index")
         self.index = pa.ipc.new_file(self.index_sink, _INDEX)
         self.wait: list[bytes] = []
@@ -62,11 +65,15 @@ class _Writer:
         real = len(flat) if end else len(flat) // step * step  # all batches but the last have BATCH_ROWS rows
         pad = -len(flat) % self.seq if end else 0
         use = np.concatenate([flat[:real], np.zeros(pad, self.dtype)])
-        mask = np.arange(len(use)) < real
         for i in range(0, len(use), step):
+            which = np.zeros(len(use[i:i + step]) // self.seq, np.int8)
+            if pad and i + step >= len(use):
+                which[-1] = 1
+                self.masks = np.stack([self.masks[0], np.arange(self.seq) < self.seq - pad]).astype(np.uint8)
+            masks = pa.FixedSizeListArray.from_arrays(pa.array(self.masks.ravel()), self.seq)
             self.file.write_batch(pa.RecordBatch.from_arrays([
                 pa.FixedSizeListArray.from_arrays(pa.array(use[i:i + step]), self.seq),
-                pa.FixedSizeListArray.from_arrays(pa.array(mask[i:i + step]), self.seq)], schema=self.schema))
+                pa.DictionaryArray.from_arrays(pa.array(which), masks)], schema=self.schema))
         rest = flat[real:]
         self.wait, self.waiting = [rest.tobytes()], len(rest)
 
@@ -97,7 +104,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, out_dir: str | None = Non
     attempt that Spark accepts is in the manifest.
     """
     spark = docs.sparkSession
-    out_dir = out_dir or fresh_dir(spark, "token-files")
+    out_dir = qualified(spark, out_dir) if out_dir else fresh_dir(spark, "token-files")
 
     def write(batches):
         w = None
@@ -109,6 +116,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, out_dir: str | None = Non
                     tail = b"" if end_id is None else np.array([end_id], p.dtype).tobytes()
                 w.add(doc_id, p.encode(text.as_py() or "") + tail)
         if w is not None:
+            p.reset()
+            release()
             yield pa.RecordBatch.from_pylist([w.close()], schema=pa.schema([
                 ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("first_id", pa.int64())]))
 
@@ -120,6 +129,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, out_dir: str | None = Non
     for r in rows:
         manifest.append((r["file"], r["n_docs"], r["n_tokens"], before))
         before += r["n_tokens"]
+    spark.createDataFrame(manifest, _FILES).coalesce(1).write.parquet(f"{out_dir}/manifest")
     return out_dir, manifest
 
 
@@ -131,13 +141,12 @@ def open_tokens(out_dir: str, name: str):
 
 
 def sequence(out_dir: str, name: str, i: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sequence ``i`` of a file and its mask; the ids are a view of the mapped file."""
+    """Sequence ``i`` of a file and its mask; both are views of the mapped file."""
     batch = open_tokens(out_dir, name).get_batch(i // BATCH_ROWS)
-    at = i % BATCH_ROWS
     tokens, mask = batch.column(0), batch.column(1)
-    n = tokens.type.list_size
-    return (tokens.flatten().to_numpy()[at * n:(at + 1) * n],
-            mask.flatten().to_numpy(zero_copy_only=False)[at * n:(at + 1) * n])
+    n, at = tokens.type.list_size, i % BATCH_ROWS
+    which = int(mask.indices.to_numpy()[at])
+    return tokens.flatten().to_numpy()[at * n:(at + 1) * n], mask.dictionary.flatten().to_numpy()[which * n:(which + 1) * n]
 
 
 def _read(out_dir: str, name: str, before: int):
@@ -164,19 +173,19 @@ def _read(out_dir: str, name: str, before: int):
         "n_tokens": pa.array(sizes, pa.int64()), "ids_crc32": pa.array(crcs, pa.int64())})
 
 
-def read_token_files(spark, out_dir: str, manifest: list) -> DataFrame:
-    """``doc_id, start, n_tokens, ids_crc32`` of every document, from the files."""
+def read_token_files(spark, out_dir: str) -> DataFrame:
+    """``doc_id, start, n_tokens, ids_crc32`` of every document, from the files that the manifest names."""
 
     def read(batches):
         for b in batches:
             for r in b.to_pylist():
                 yield _read(out_dir, r["file"], r["before"])
+        release()
 
-    files = spark.createDataFrame(manifest, "file string, n_docs long, n_tokens long, before long")
-    return files.repartition(max(1, len(manifest))).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    files = spark.read.schema(_FILES).parquet(f"{out_dir}/manifest")
+    return files.repartition(max(1, files.count()), "file").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, tokenizer: str, out_dir: str | None = None, end_id: int = 1, seq_len: int = SEQ_LEN) -> DataFrame:
     """Writes ``docs`` and reads the files back; see the two functions above."""
-    out_dir, manifest = write_token_files(docs, tokenizer, out_dir, end_id, seq_len)
-    return read_token_files(docs.sparkSession, out_dir, manifest)
+    return read_token_files(docs.sparkSession, write_token_files(docs, tokenizer, out_dir, end_id, seq_len)[0])
