@@ -37,10 +37,12 @@ def ship_code(spark: SparkSession) -> None:
 def settle(df):
     """``df`` written to the checkpoint folder that all executors share, its lineage cut there.
 
-    The folder is ``spark.checkpoint.dir``; one of our own is used only where none is set.
+    The folder is ``spark.checkpoint.dir``; where none is set, local mode uses one of its own and a cluster raises.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="lodestone-checkpoint-"))
     return df.checkpoint()
