@@ -145,6 +145,25 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return roots.unionByName(now.select(F.col("b").alias("id"), F.col("a").alias("component")))
 
 
+def spanning(n: int, i: np.ndarray, j: np.ndarray) -> list[int]:
+    """Positions of links that suffice to connect what all of them connect."""
+    root = list(range(n))
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    out = []
+    for p, (a, b) in enumerate(zip(i.tolist(), j.tolist())):
+        a, b = find(a), find(b)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            out.append(p)
+    return out
+
+
 # -- hashing of byte and word sequences, whole arrays at a time ----------------
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -187,7 +206,7 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
         part += np.uint64(1)
         part *= _UP[:len(part)]
         part *= base
-        part[0] += total[lo]
+        part[:1] += total[lo]
         np.cumsum(part, out=total[lo + 1:lo + 1 + len(part)])
         base *= _STRIP_UP
     strips = np.full(n // STRIP + 1, _STRIP_DOWN, np.uint64)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import components, cut, spanning
 
 #: Vectors of a tile; pairs of tiles that one task takes at a time.
 TILE = 1024
@@ -56,25 +56,6 @@ def linked_pairs(x: np.ndarray, y: np.ndarray, qx: tuple, qy: tuple, threshold:
     return i[keep], j[keep]
 
 
-def spanning(n: int, i: np.ndarray, j: np.ndarray) -> list[int]:
-    """Positions of links that suffice to connect what all of them connect."""
-    root = list(range(n))
-
-    def find(k: int) -> int:
-        while root[k] != k:
-            root[k] = root[root[k]]
-            k = root[k]
-        return k
-
-    out = []
-    for p, (a, b) in enumerate(zip(i.tolist(), j.tolist())):
-        a, b = find(a), find(b)
-        if a != b:
-            root[max(a, b)] = min(a, b)
-            out.append(p)
-    return out
-
-
 def near_duplicates(embeddings: DataFrame, threshold: float = 0.93, tile: int = TILE) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row of ``embeddings(vec_id, embedding, label)``.
 

@@ -20,8 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import BLOCK_BYTES, Blocks, bucket_of, ids_of, in_sorted, is_shared, known_keys, pack, rows_of, shared_keys, text_blocks, texts_of, unpack
-from .common import NULL_ID, components, cut, gram_hashes, mix64, released, space_table, span_hashes, words_of
-from .embed_dedup import spanning
+from .common import NULL_ID, components, cut, gram_hashes, mix64, released, space_table, span_hashes, spanning, words_of
 
 #: Sets of a tile; groups of at most so many sets are compared by shifts, larger ones set by set.
 TILE, SMALL = 512, 24
