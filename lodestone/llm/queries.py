@@ -50,7 +50,7 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
-    return found.select("doc_id", "held_out", "score", "predicted")
+    return found.select("doc_id", "held_out", "score", "predicted", "evidence")
 
 
 QUERIES = {f.__name__: f for f in (

@@ -1,12 +1,11 @@
 """Toxicity scores by nearest labelled examples.
 
-Features are words and word beginnings, also by how often and how densely they occur.  A bounded sample of labelled rows
-gives the examples; the features that tell the classes apart are kept, and examples
-and documents are TF-IDF vectors over them.  The nearest examples by exact
-cosine come from an inverted index in blocks with per-block maxima: blocks
-whose bound lies below a document's k-th best similarity are skipped.  Votes
-are weighted by similarity and calibrated on the examples, each left out in
-turn.
+A bounded sample of labelled rows gives the examples.  Examples and documents are TF-IDF vectors over every term,
+word or word beginning, that two examples have at least; a term's weight grows with what it tells of the
+classes, and none is left out.  The nearest examples by exact cosine come from an inverted index in
+blocks of examples: postings of rare terms are added up as they are, and those of frequent terms are kept a block at a time with the
+block's largest weight, so that a block whose bound lies below a document's k-th best similarity is skipped.  Votes
+are weighted by similarity and calibrated on the examples, each left out in turn.
 """
 
 from __future__ import annotations
@@ -14,37 +13,34 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release
+from .decontaminate import slices
 
-#: At most so many examples of each class, features, and neighbours that vote.
-PER_CLASS, FEATURES, NEIGHBOURS = 2000, 1024, 15
-#: Examples in an index block; lengths of word beginnings; entries of a worker's word table.
-BLOCK, STEMS, WORDS = 64, (4, 5, 6), 200_000
-#: Weight of the base rate among the votes, in units of similarity; least chi-squared of a kept feature.
-PRIOR, LEAST_CHI2 = 0.25, 45.0
+#: At most so many examples of each class, neighbours that vote, and examples that a term must occur in.
+PER_CLASS, NEIGHBOURS, LEAST = 2000, 15, 2
+#: Examples in an index block; terms whose postings are kept by block; blocks between two looks at the k-th best; rows scored in one go.
+BLOCK, FREQUENT, AHEAD, ROWS = 64, 1024, 16, 256
+#: Lengths of word beginnings; entries of a worker's word table.
+STEMS, WORDS = (4, 5, 6), 200_000
+#: Neighbours that a row shows.
+EVIDENCE = 5
+#: Weight of the base rate among the votes; a term's weight where it tells nothing, and the share of explained variance from which it is 1.
+PRIOR, FLOOR, TELLING = 0.25, 0.05, 0.06
 
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-#: A term may also stand for "so often at least" and "once in so many words at least".
-TIMES, RARER = (2, 3, 4, 6), (12, 25, 50, 100, 200)
-
-
 def terms_of(word: str) -> list[str]:
     return [word, *[word[:n] + "*" for n in STEMS if len(word) > n]]
 
 
-def graded(term: str, n: int, words: int) -> list[str]:
-    """The features of a term that occurs ``n`` times in so many words."""
-    return [term, *[f"{term}@{k}" for k in TIMES if n >= k], *[f"{term}%{k}" for k in RARER if n * k >= words]]
-
-
 def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("null"))) % 5 == 0
 
@@ -65,99 +61,157 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tu
     return cut(rows), sizes
 
 
+@dataclass
+class Sparse:
+    """Vectors of rows: row ``i`` has ``value[at[i]:at[i + 1]]`` at the features ``term[at[i]:at[i + 1]]``, ascending, and length 1 (or none)."""
+
+    at: np.ndarray
+    term: np.ndarray
+    value: np.ndarray
+
+    @property
+    def rows(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.at) - 1), np.diff(self.at))
+
+    def part(self, lo: int, hi: int) -> Sparse:
+        return Sparse(self.at[lo:hi + 1] - self.at[lo], self.term[self.at[lo]:self.at[hi]], self.value[self.at[lo]:self.at[hi]])
+
+    def take(self, order: np.ndarray) -> Sparse:
+        n = np.diff(self.at)[order]
+        i = np.repeat(self.at[order], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return Sparse(np.concatenate(([0], np.cumsum(n))), self.term[i], self.value[i])
+
+
+class Terms:
+    """Counts the known terms of texts; a worker's table of words is bounded."""
+
+    def __init__(self, names: list[str]):
+        self.size = max(len(names), 1)
+        self.known = {t: i for i, t in enumerate(names) if not t.endswith("*")}
+        self.stems = [(n, {t[:-1]: i for i, t in enumerate(names) if len(t) == n + 1 and t.endswith("*")}) for n in STEMS]
+        self.words: dict[str, int] = {}
+        self.terms: list[tuple] = []
+
+    def counts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, term, count), ascending, of the terms that occur."""
+        if len(self.words) >= WORDS:
+            self.words, self.terms = {}, []
+        words, terms, ids, sizes = self.words, self.terms, [], []
+        for text in texts:
+            found = _WORD.findall((text or "").lower())
+            for w in found:
+                if w not in words:
+                    words[w] = len(terms)
+                    of = [self.known[w]] if w in self.known else []
+                    for n, stems in self.stems:
+                        if len(w) > n and (stem := w[:n]) in stems:
+                            of.append(stems[stem])
+                    terms.append(of)
+            ids += map(words.__getitem__, found)
+            sizes.append(len(found))
+        used, at = np.unique(np.array(ids, np.int64), return_inverse=True)
+        of = [terms[i] for i in used.tolist()]
+        flat, size = np.array([t for x in of for t in x], np.int64), np.array([len(x) for x in of], np.int64)
+        start, k = (np.cumsum(size) - size)[at], size[at]
+        i = np.repeat(start - (np.cumsum(k) - k), k) + np.arange(k.sum())
+        key, times = np.unique(np.repeat(np.repeat(np.arange(len(texts)) * self.size, sizes), k) + flat[i], return_counts=True)
+        return key // self.size, key % self.size, times
+
+
 @dataclass
 class Model:
-    """Plain arrays: small, bounded by PER_CLASS and FEATURES, and sent to workers as they are."""
+    """Plain arrays: bounded by the sample, and sent to workers as they are."""
 
     names: list[str]
-    idf: np.ndarray
+    weights: np.ndarray  # of terms: idf and what they tell of the classes
     ids: np.ndarray
     y: np.ndarray
-    weight: np.ndarray
-    vectors: np.ndarray
+    weight: np.ndarray  # of examples: rows of the class that one stands for
+    vectors: Sparse
     prior: float
     steps: np.ndarray  # raw scores and what they mean, from the calibration
     levels: np.ndarray
 
-    def __post_init__(self):
-        self.grades: dict[str, list[tuple[str, int, int]]] = {}  # term -> (kind, number, feature)
-        for i, name in enumerate(self.names):
-            term, kind, k = re.fullmatch(r"(.*?)(?:([@%])(\d+))?", name).groups()
-            self.grades.setdefault(term, []).append((kind or "", int(k or 1), i))
-        n = len(self.ids)
-        self.blocks = [slice(i, min(i + BLOCK, n)) for i in range(0, n, BLOCK)]
-        self.top = (np.stack([self.vectors[b].max(0) for b in self.blocks], 1) if self.blocks else np.zeros((len(self.names), 0), np.float32))
-
-    def counts(self, text: str, words: dict) -> Counter:
-        """Features of a text and how often each occurs; ``words`` caches the terms of words."""
-        found, every = [], _WORD.findall(text.lower())
-        for w in every:
-            f = words.get(w)
-            if f is None:
-                f = tuple(t for t in terms_of(w) if t in self.grades)
-                if len(words) >= WORDS:
-                    words.clear()
-                words[w] = f
-            if f:
-                found += f
-        out: Counter = Counter()
-        for term, n in Counter(found).items():
-            for kind, k, i in self.grades[term]:
-                if not kind:
-                    out[i] = n
-                elif n >= k if kind == "@" else n * k >= len(every):
-                    out[i] = 1
-        return out
-
-    def vector(self, counts: list[Counter]) -> np.ndarray:
-        q = np.zeros((len(counts), len(self.names)), np.float32)
-        for i, c in enumerate(counts):
-            if c:
-                j = np.fromiter(c.keys(), np.int64, len(c))
-                v = (1 + np.log(np.fromiter(c.values(), np.float64, len(c)))) * self.idf[j]
-                q[i, j] = v / np.sqrt((v * v).sum())
-        return q
-
-    def nearest(self, q: np.ndarray, k: int = NEIGHBOURS, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Indices and similarities of the k nearest examples of each row, exactly; -1 and 0 where
-        fewer share a feature.  Ties go to the smaller index.  ``leave``: an example to leave out, per row."""
-        m = len(q)
-        best_i, best_s = np.full((m, k), -1), np.zeros((m, k))
-        if not m or not self.blocks:
-            return best_i, best_s
-        used = np.flatnonzero(q.any(0))
-        q = q[:, used]
-        bound = q @ self.top[used]
-        order = np.argsort(-bound, 1, kind="stable")
-        for rank in range(len(self.blocks)):
-            block = order[:, rank]
-            least = best_s[:, -1]
-            ub = bound[np.arange(m), block] + 1e-5
-            active = np.flatnonzero((bound[np.arange(m), block] > 0) & (ub >= least))
-            if not len(active):
-                break  # bounds only fall from here
-            for b in np.unique(block[active]):
-                rows = active[block[active] == b]
-                at = self.blocks[b]
-                sims = np.round((q[rows] @ self.vectors[at][:, used].T).astype(np.float64), 5)
-                idx = np.broadcast_to(np.arange(at.start, at.stop), sims.shape)
-                if leave is not None:
-                    sims = np.where(idx == leave[rows, None], 0, sims)
-                s = np.concatenate([best_s[rows], sims], 1)
-                i = np.concatenate([best_i[rows], idx], 1)
-                i = np.where(s > 0, i, -1)
-                keep = np.lexsort((np.where(i < 0, 1 << 60, i), -s), axis=1)[:, :k]
-                best_s[rows], best_i[rows] = np.take_along_axis(s, keep, 1), np.take_along_axis(i, keep, 1)
-        return best_i, best_s
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "index"}
+
+    def vectorised(self, n: int, row: np.ndarray, term: np.ndarray, count: np.ndarray) -> Sparse:
+        v = (1 + np.log(count)) * self.weights[term] if len(term) else np.zeros(0)
+        length = np.sqrt(np.bincount(row, v * v, n)) if len(row) else np.zeros(n)
+        at = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=n)))) if n else np.zeros(1, np.int64)
+        return Sparse(at, term.astype(np.int32), (v / length[row] if len(row) else v).astype(np.float32))
+
+    @cached_property
+    def index(self) -> dict:
+        """Postings of rare terms; of frequent ones a row each over all examples and a row of block maxima."""
+        n, m = -(-len(self.ids) // BLOCK) * BLOCK, len(self.names)
+        x, df = self.vectors, np.bincount(self.vectors.term, minlength=m)
+        frequent = np.sort(np.argsort(-df, kind="stable")[:FREQUENT])
+        place = np.full(m, -1)
+        place[frequent] = np.arange(len(frequent))
+        often = place[x.term] >= 0
+        dense = np.zeros((len(frequent), n), np.float32)
+        dense[place[x.term[often]], x.rows[often]] = x.value[often]
+        o = np.argsort(x.term[~often], kind="stable")
+        begin = np.searchsorted(x.term[~often][o], np.arange(m + 1))
+        return {"n": n, "place": place, "dense": dense, "top": dense.reshape(len(frequent), n // BLOCK, BLOCK).max(2), "begin": begin,
+                "example": x.rows[~often][o].astype(np.int32), "value": x.value[~often][o]}
+
+    def nearest(self, q: Sparse, k: int = NEIGHBOURS, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Indices and similarities (five decimals) of the k nearest examples of each row, exactly; -1 and 0 where
+        fewer share a term.  Ties go to the smaller index.  ``leave``: an example to leave out, per row."""
+        m = len(q.at) - 1
+        parts = [self._nearest(q.part(lo, min(lo + ROWS, m)), k, None if leave is None else leave[lo:lo + ROWS]) for lo in range(0, m, ROWS)]
+        if not parts or not len(self.ids):
+            return np.full((m, k), -1), np.zeros((m, k))
+        return np.concatenate([i for i, _ in parts]), np.concatenate([s for _, s in parts])
+
+    def _nearest(self, q: Sparse, k: int, leave: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        m, x = len(q.at) - 1, self.index
+        n, row = x["n"], q.rows
+        if not n:
+            return np.full((m, k), -1), np.zeros((m, k))
+        often = x["place"][q.term] >= 0
+        head = np.zeros((m, len(x["dense"])), np.float32)
+        head[row[often], x["place"][q.term[often]]] = q.value[often]
+        term, size = q.term[~often], x["begin"][q.term[~often] + 1] - x["begin"][q.term[~often]]
+        i = np.repeat((x["begin"][term] - (np.cumsum(size) - size)).astype(np.int32), size)
+        i += np.arange(len(i), dtype=np.int32)
+        to = np.repeat((row[~often] * n).astype(np.int32), size)
+        to += x["example"][i]
+        sims = np.bincount(to, np.repeat(q.value[~often], size) * x["value"][i], m * n).astype(np.float32).reshape(m, n)
+        if leave is not None:
+            sims[np.arange(m), leave] = -9
+        bound = sims.reshape(m, n // BLOCK, BLOCK).max(2) + head @ x["top"] + 1e-5
+        order, done = np.argsort(-bound.max(0), kind="stable"), np.full((m, n), -1, np.float32)
+        for lo in range(0, len(order), AHEAD):
+            least = np.partition(done, n - k, 1)[:, n - k] if n > k and lo else np.full(m, -1.0)
+            for b in order[lo:lo + AHEAD]:
+                rows, at = np.flatnonzero(bound[:, b] >= least), slice(b * BLOCK, (b + 1) * BLOCK)
+                if len(rows):
+                    done[rows, at] = sims[rows, at] + head[rows] @ x["dense"][:, at]
+        # Similarity and place in one number, so that ties are settled by place.
+        key = np.maximum(np.rint(done * 1e5), 0).astype(np.int64) * n + (n - 1 - np.arange(n))
+        best = -np.sort(-(np.partition(key, n - k, 1)[:, n - k:] if n > k else key), 1)
+        if best.shape[1] < k:
+            best = np.concatenate([best, np.zeros((m, k - best.shape[1]), np.int64)], 1)
+        some = best // n > 0
+        return np.where(some, n - 1 - best % n, -1), np.where(some, best // n / 1e5, 0)
 
     def raw(self, idx: np.ndarray, sims: np.ndarray) -> np.ndarray:
-        w = np.where(idx >= 0, sims * self.weight[idx], 0) if len(self.ids) else np.zeros(idx.shape)
-        yes = (w * self.y[idx]).sum(1) if len(self.ids) else np.zeros(len(idx))
-        return (yes + PRIOR * self.prior) / (w.sum(1) + PRIOR)
+        if not len(self.ids):
+            return np.full(len(idx), self.prior)
+        w = np.where(idx >= 0, sims * sims * self.weight[idx], 0)
+        return ((w * self.y[idx]).sum(1) + PRIOR * self.prior) / (w.sum(1) + PRIOR)
 
     def calibrated(self, raw: np.ndarray) -> np.ndarray:
         return np.clip(np.interp(raw, self.steps, self.levels), 0, 1) if len(self.steps) else np.clip(raw, 0, 1)
 
+    def scored(self, terms: Terms, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(neighbours, similarities, scores)."""
+        idx, sims = self.nearest(self.vectorised(len(texts), *terms.counts(texts)))
+        return idx, sims, self.calibrated(self.raw(idx, sims))
+
 
 def _monotone(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Isotonic regression by pooling neighbours that fall; one step per pool."""
@@ -179,7 +233,7 @@ def _monotone(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray,
     return np.array(xs), np.array(ys)
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, n_features: int = FEATURES) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
     """Trains on a bounded sample; see ``sample``.  Without examples every score is 0."""
     rows, sizes = sample(docs, labels, per_class)
 
@@ -187,46 +241,31 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, n_featur
         for b in batches:
             out = []
             for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                every = _WORD.findall(t.lower())
-                for term, n in Counter([f for w in every for f in terms_of(w)]).items():
-                    out += [(f, y) for f in graded(term, n, len(every))]
+                out += [(f, y) for f in {f for w in set(_WORD.findall(t.lower())) for f in terms_of(w)}]
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.int32())], names=["f", "y"])
 
+    c = rows.select("text", "toxic").mapInArrow(each, "f string, y int").groupBy("f").agg(
+        F.count("*").cast("double").alias("df"), F.sum("y").cast("double").alias("a")).where(F.col("df") >= LEAST).orderBy("f").toArrow()
     n = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
     n0, n1 = n.get(0, 0), n.get(1, 0)
-    names, df = [], np.zeros(0)
-    if n0 and n1:
-        c = rows.select("text", "toxic").mapInArrow(each, "f string, y int").groupBy("f").agg(
-            F.count("*").cast("double").alias("df"), F.sum("y").cast("double").alias("a")).where("df >= 3")
-        a, b = F.col("a"), F.col("df") - F.col("a")
-        cc, dd, total = F.lit(float(n1)) - a, F.lit(float(n0)) - b, float(n0 + n1)
-        chi = total * (a * dd - b * cc) ** 2 / ((a + b) * (cc + dd) * n1 * n0)
-        kept = c.where((cc + dd) > 0).select("f", "df", chi.alias("chi")).where(F.col("chi") >= LEAST_CHI2).orderBy(F.desc("chi"), "f").limit(n_features).collect()
-        names, df = [r["f"] for r in kept], np.array([r["df"] for r in kept])
-    idf = np.log((1 + n0 + n1) / (1 + df)) + 1
-    prior = sizes.get(1, 0) / max(1, sum(sizes.values()))
-    empty = np.zeros(0)
-    model = Model(names, idf, empty, empty, empty, np.zeros((0, len(names)), np.float32), prior, empty, empty)
-
-    def vectors(batches):
-        words: dict = {}
-        for b in batches:
-            found = [model.counts(t, words) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([list(c.keys()) for c in found], pa.list_(pa.int64())),
-                                              pa.array([list(c.values()) for c in found], pa.list_(pa.int64()))], names=["doc_id", "y", "f", "n"])
-
-    got = rows.select("doc_id", "toxic", "text").mapInArrow(vectors, "doc_id long, y int, f array<long>, n array<long>").collect()
-    if not got:
+    df, a = c.column("df").to_numpy(), c.column("a").to_numpy()
+    told = (a * (n0 - df + a) - (df - a) * (n1 - a)) ** 2 / np.maximum(df * (n0 + n1 - df) * n0 * n1, 1e-9)  # chi-squared by rows: the variance explained
+    weights = (np.log((1 + n0 + n1) / (1 + df)) + 1) * (FLOOR + np.minimum(told, TELLING) / TELLING)
+    names, prior, empty = c.column("f").to_pylist(), sizes.get(1, 0) / max(1, sum(sizes.values())), np.zeros(0)
+    got = rows.select("doc_id", "toxic", "text").orderBy("toxic", "doc_id").collect()  # 2 * per_class rows at most
+    ids, y = np.array([r["doc_id"] for r in got], np.int64), np.array([r["toxic"] for r in got], np.int64)
+    model = Model(names, weights, ids, y, np.where(y == 1, sizes.get(1, 0) / max(1, n1), sizes.get(0, 0) / max(1, n0)), Sparse(np.zeros(1, np.int64), y[:0], empty), prior, empty, empty)
+    if not len(got):
         return model
-    q = model.vector([Counter(dict(zip(r["f"], r["n"]))) for r in got])
-    ids, y = np.array([r["doc_id"] for r in got]), np.array([r["y"] for r in got])
-    # Examples of one leading feature stand together, which keeps the blocks' maxima low.
-    o = np.lexsort((ids, q.argmax(1) if q.shape[1] else y, y))
-    ids, y, q = ids[o], y[o], q[o]
-    weight = np.where(y == 1, sizes.get(1, 0) / max(1, n1), sizes.get(0, 0) / max(1, n0))
-    model = Model(names, idf, ids, y, weight, q, prior, empty, empty)
-    idx, sims = model.nearest(q, leave=np.arange(len(ids)))
-    model.steps, model.levels = _monotone(model.raw(idx, sims), y.astype(float), weight)
+    q = model.vectorised(len(got), *Terms(names).counts([r["text"] for r in got]))
+    # Examples whose weightiest term is the same stand together, which keeps the blocks' maxima low.
+    main = np.full(len(got), -1)
+    o = np.lexsort((q.value, q.rows))
+    main[q.rows[o]] = q.term[o]
+    o = np.lexsort((ids, main, y))
+    model = Model(names, weights, ids[o], y[o], model.weight[o], q.take(o), prior, empty, empty)
+    idx, sims = model.nearest(model.vectors, leave=np.arange(len(ids)))
+    model.steps, model.levels = _monotone(model.raw(idx, sims), model.y.astype(float), model.weight)
     return model
 
 
@@ -240,22 +279,18 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        m, words = shared.value, {}
-        for b in batches:
-            for lo in range(0, b.num_rows, 1024):
-                part = b.slice(lo, 1024)
-                keys, of = {}, []
-                for t in part.column(1):
-                    c = m.counts(t.as_py() or "", words)
-                    of.append(keys.setdefault(frozenset(c.items()), len(keys)))
-                q = m.vector([Counter(dict(k)) for k in keys])
-                idx, sims = m.nearest(q)
-                s = m.calibrated(m.raw(idx, sims))[of]
-                seen = [[{"doc_id": int(m.ids[i]), "toxic": int(m.y[i]), "similarity": float(x)} for i, x in zip(ii, ss) if i >= 0][:5] for ii, ss in zip(idx, sims)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32)),
-                     pa.array([seen[i] for i in of], pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("similarity", pa.float64())])))],
-                    names=["doc_id", "held_out", "score", "predicted", "evidence"])
+        m = shared.value
+        terms = Terms(m.names)
+        for part in slices(batches, 1):
+            idx, sims, s = m.scored(terms, part.column(1).to_pylist())
+            near = np.where(idx[:, :EVIDENCE] >= 0)
+            at = np.concatenate(([0], np.cumsum(np.bincount(near[0], minlength=part.num_rows))))
+            found = idx[near]
+            evidence = pa.StructArray.from_arrays([pa.array(m.ids[found], pa.int64()), pa.array(m.y[found].astype(np.int32)), pa.array(sims[near])], ["doc_id", "toxic", "similarity"])
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(2), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), evidence)],
+                names=["doc_id", "held_out", "score", "predicted", "evidence"])
+        release()
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return d.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")).mapInArrow(
@@ -271,11 +306,10 @@ def without_toxic(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFram
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def keep(batches):
-        m, words = shared.value, {}
-        for b in batches:
-            for lo in range(0, b.num_rows, 1024):
-                part = b.slice(lo, 1024)
-                idx, sims = m.nearest(m.vector([m.counts(t.as_py() or "", words) for t in part.column(at)]))
-                yield part.filter(pa.array(m.calibrated(m.raw(idx, sims)) < limit))
+        m = shared.value
+        terms = Terms(m.names)
+        for part in slices(batches, at):
+            yield part.filter(pa.array(m.scored(terms, part.column(at).to_pylist())[2] < limit))
+        release()
 
     return docs.mapInArrow(keep, docs.schema)

@@ -1,27 +1,61 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 
 from lodestone.llm import toxicity as T
 
 
-def test_nearest_is_exact():
+def sparse(dense):
+    row, term = np.nonzero(dense)
+    return T.Sparse(np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(dense))))), term, dense[row, term].astype(np.float64))
+
+
+def test_nearest_is_exact(monkeypatch):
+    """Against brute force, with every share of terms kept by block."""
     r = np.random.default_rng(2)
     n, f = 300, 40
-    v = (r.random((n, f)) * (r.random((n, f)) < 0.1)).astype(np.float32)
+    v = r.random((n, f)) * (r.random((n, f)) < 0.1)
     v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
-    q = (r.random((60, f)) * (r.random((60, f)) < 0.1)).astype(np.float32)
+    v[7] = v[3]
+    q = r.random((60, f)) * (r.random((60, f)) < 0.1)
     q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-9)
-    m = T.Model([f"f{i}" for i in range(f)], np.ones(f), np.arange(n), np.zeros(n), np.ones(n), v, 0.1, np.zeros(0), np.zeros(0))
-    idx, sims = m.nearest(q, 7)
-    exact = np.round(q.astype(np.float64) @ v.T.astype(np.float64), 5)
-    for i in range(len(q)):
-        best = sorted((-round(float(s), 4), j) for j, s in enumerate(exact[i]) if s > 0)[:7]
-        assert np.allclose([-s for s, _ in best], sims[i][:len(best)], atol=2e-4)
-        assert (idx[i][len(best):] == -1).all() and np.allclose(exact[i][idx[i][:len(best)]], sims[i][:len(best)], atol=2e-5)
-    left, _ = m.nearest(v[:20], 3, leave=np.arange(20))
-    assert all(i not in left[i] for i in range(20))
+    q[5] = 0
+    exact = np.round(q @ v.T, 5)
+    for frequent in (0, 10, 40):
+        monkeypatch.setattr(T, "FREQUENT", frequent)
+        monkeypatch.setattr(T, "ROWS", 16)
+        m = T.Model([f"f{i}" for i in range(f)], np.ones(f), np.arange(n), np.zeros(n), np.ones(n), sparse(v), 0.1, np.zeros(0), np.zeros(0))
+        idx, sims = m.nearest(sparse(q), 7)
+        for i in range(len(q)):
+            best = sorted((-round(float(s), 4), j) for j, s in enumerate(exact[i]) if s > 0)[:7]
+            assert np.allclose([-s for s, _ in best], sims[i][:len(best)], atol=2e-4)
+            assert (idx[i][len(best):] == -1).all() and np.allclose(exact[i][idx[i][:len(best)]], sims[i][:len(best)], atol=2e-5)
+        left, _ = m.nearest(sparse(v[:20]), 3, leave=np.arange(20))
+        assert all(i not in left[i] for i in range(20)) and left[3][0] == 7 and left[7][0] == 3
+
+
+def test_cosine_of_whole_texts(spark):
+    """Scores' neighbours against cosines worked out term by term from the texts."""
+    rows, labels = corpus(9, 300)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    m = T.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    weight, texts = dict(zip(m.names, m.weights)), {i: t for i, t, _ in rows}
+
+    def vector(text):
+        c = Counter(t for w in text.lower().split() for t in T.terms_of(w) if t in weight)
+        v = {t: (1 + np.log(k)) * weight[t] for t, k in c.items()}
+        size = sum(x * x for x in v.values()) ** 0.5
+        return {t: x / size for t, x in v.items()}
+
+    held = [vector(texts[i]) for i in m.ids.tolist()]
+    idx, sims, _ = m.scored(T.Terms(m.names), [texts[i] for i in range(40)])
+    for i in range(40):
+        q = vector(texts[i])
+        want = sorted((sum(q[t] * e.get(t, 0) for t in q) for e in held), reverse=True)[:T.NEIGHBOURS]
+        assert np.allclose(want, sims[i], atol=2e-5)
+    assert (np.diff(m.vectors.at) > 0).mean() >= 0.95
 
 
 def test_monotone():
