@@ -28,6 +28,8 @@ from .common import gram_hashes, mix64, span_hashes
 WINDOW, COVERAGE, AGREEMENT = 5, 0.8, 0.8
 #: Most characters of benchmark text in one block, whose table goes to every worker.
 BLOCK_CHARS = 8_000_000
+#: Equal windows of documents and items looked at in one go.
+HITS = 4_000_000
 
 UNITS = """mm cm m km mg g kg t ml l s sec second seconds min minute minutes h hour hours day days week weeks month months
 year years mile miles inch inches foot feet yard yards pound pounds ounce ounces gallon gallons liter liters litre litres
@@ -143,9 +145,12 @@ def block(items: list[tuple]) -> Block:
 
 
 def _block(items: list[tuple], t: Tokens) -> Block:
-    """Items without tokens have no windows; one of fewer than ``WINDOW`` tokens is one window of its own length."""
+    """Items without tokens have no windows; one of fewer than ``WINDOW`` tokens is one window of its own length.
+
+    Windows of placeholders alone say nothing of a template: an item has them only where it has no others, and then by their values.
+    """
     sizes = np.diff(t.first)
-    n = np.where(sizes > 0, np.maximum(sizes - WINDOW + 1, 1), 0)
+    n = np.zeros(len(sizes), np.int64)
     out = Block([i for i, _ in items], [], [], n, sorted({int(min(WINDOW, x)) for x in sizes if x}), {}, {}, {}, {})
     template, by = t.template, defaultdict(list)
     for i in range(len(items)):
@@ -154,16 +159,32 @@ def _block(items: list[tuple], t: Tokens) -> Block:
         out.value.append(t.value[a:b])
         if b > a:
             w = int(min(WINDOW, b - a))
-            by[w].append((i, gram_hashes(template[a:b], w)))
+            h, plain = _windows(t.kind[a:b], template[a:b], t.value[a:b], w)
+            at = np.flatnonzero(plain) if plain.any() else np.arange(len(h))
+            n[i] = len(at)
+            by[w].append((i, h[at], at))
     for w, found in by.items():
-        h = np.concatenate([x for _, x in found])
-        item, pos = np.concatenate([np.full(len(x), i) for i, x in found]), np.concatenate([np.arange(len(x)) for _, x in found])
+        h = np.concatenate([x for _, x, _ in found])
+        item, pos = np.concatenate([np.full(len(x), i) for i, x, _ in found]), np.concatenate([at for _, _, at in found])
         o = np.argsort(h, kind="stable")
         out.keys[w], first = np.unique(h[o], return_index=True)
         out.at[w], out.item[w], out.pos[w] = np.append(first, len(h)), item[o], pos[o]
     return out
 
 
+def _windows(kind: np.ndarray, template: np.ndarray, value: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the windows of ``w`` tokens, and which of them have a plain word; the others are hashed by value."""
+    h = gram_hashes(template, w)
+    if not len(h):
+        return h, np.zeros(0, bool)
+    words = np.concatenate(([0], np.cumsum(kind == _PLAIN)))
+    plain = words[w:] > words[:-w]
+    bare = np.flatnonzero(~plain)
+    if len(bare):
+        h[bare] = gram_hashes(value, w)[bare] ^ _SLOT[0]
+    return h, plain
+
+
 def blocks(benchmark: DataFrame, chars: int = BLOCK_CHARS) -> Iterator[Block]:
     """The benchmark in blocks of bounded size; null texts and ids are passed over."""
     held, size = [], 0
@@ -188,23 +209,78 @@ def matches(texts: list[str | None], b: Block, coverage: float = COVERAGE, agree
     return out
 
 
+def _alignment(diag: np.ndarray, pos: np.ndarray, need: float, wide: int) -> tuple | None:
+    """(windows, diagonals, positions) of the band of ``wide`` diagonals that has the most windows of an item, if they are enough.
+
+    The diagonals are ascending; one pass over them counts the windows of each band.
+    """
+    ends = np.searchsorted(diag, diag + wide, "right")
+    starts = np.flatnonzero(np.concatenate(([True], diag[1:] != diag[:-1])))
+    starts = starts[ends[starts] - starts >= need]
+    if not len(starts):
+        return None
+    held, count, lo, hi, best = np.zeros(int(pos.max()) + 1, np.int64), 0, int(starts[0]), int(starts[0]), None
+    if wide == 0:  # a window lies on a diagonal once
+        s = int(starts[(ends[starts] - starts).argmax()])
+        best = (int(ends[s]) - s, s, int(ends[s]))
+    else:
+        p = pos.tolist()
+        for s in starts.tolist():
+            if s > hi:
+                held[:], count, lo, hi = 0, 0, s, s
+            while lo < s:
+                held[p[lo]] -= 1
+                count -= held[p[lo]] == 0
+                lo += 1
+            while hi < ends[s]:
+                count += held[p[hi]] == 0
+                held[p[hi]] += 1
+                hi += 1
+            if count >= need and (best is None or count > best[0]):
+                best = (int(count), s, int(ends[s]))
+    return None if best is None else (best[0], diag[best[1]:best[2]], pos[best[1]:best[2]])
+
+
 def _matches(t: Tokens, b: Block, coverage: float, agreement: float) -> list[tuple]:
-    template, hits = t.template, []
+    template, found = t.template, []
     for w in b.lengths:
-        h = gram_hashes(template, w)
+        h, _ = _windows(t.kind, template, t.value, w)
         if not len(h):
             continue
         keys = b.keys[w]
         k = np.searchsorted(keys, h)
         ok = np.flatnonzero((k < len(keys)) & (keys[np.minimum(k, len(keys) - 1)] == h) & (t.text[:len(h)] == t.text[w - 1:]))
-        k = k[ok]
-        n = b.at[w][k + 1] - b.at[w][k]
+        found.append((w, ok, b.at[w][k[ok]], b.at[w][k[ok] + 1]))
+    texts = np.unique(np.concatenate([t.text[ok] for _, ok, _, _ in found])) if found else np.zeros(0, np.int64)
+    out: list[tuple] = []
+    _some(t, b, found, texts, 0, len(b.ids), coverage, agreement, out)
+    return out
+
+
+def _some(t: Tokens, b: Block, found: list[tuple], texts: np.ndarray, low: int, high: int, coverage: float, agreement: float, out: list[tuple]) -> None:
+    """The matches of some texts (numbers, ascending) with the items from ``low`` to before ``high``, no more than ``HITS`` equal windows at a time."""
+    if not len(texts):
+        return
+    parts = [(w, ok[s], lo[s], hi[s]) for w, ok, lo, hi in found for s in [slice(*np.searchsorted(t.text[ok], [texts[0], texts[-1] + 1]))]]
+    if sum(int((hi - lo).sum()) for _, _, lo, hi in parts) > HITS and (len(texts) > 1 or high - low > 1):
+        if len(texts) > 1:
+            for half in (texts[:len(texts) // 2], texts[len(texts) // 2:]):
+                _some(t, b, parts, half, low, high, coverage, agreement, out)
+        else:
+            # Entries of one window are in order of item, so a range of items is a range of them.
+            middle = (low + high) // 2
+            at = [np.array([lo_ + np.searchsorted(b.item[w][lo_:hi_], middle) for lo_, hi_ in zip(lo, hi)], np.int64) for w, _, lo, hi in parts]
+            _some(t, b, [(w, ok, lo, m) for (w, ok, lo, _), m in zip(parts, at)], texts, low, middle, coverage, agreement, out)
+            _some(t, b, [(w, ok, m, hi) for (w, ok, _, hi), m in zip(parts, at)], texts, middle, high, coverage, agreement, out)
+        return
+    hits = []
+    for w, ok, lo, hi in parts:
+        n = hi - lo
         where = np.repeat(ok, n)
-        src = np.repeat(b.at[w][k], n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+        src = np.repeat(lo, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
         hits.append(np.stack([t.text[where], b.item[w][src], where - t.first[t.text[where]] - b.pos[w][src], b.pos[w][src]]))
-    out = []
     if not hits:
-        return out
+        return
     hit = np.concatenate(hits, 1)
     hit = hit[:, np.lexsort(hit[::-1])]
     new = np.flatnonzero(np.any(np.diff(hit[:2], axis=1, prepend=-1) != 0, axis=0))
@@ -215,15 +291,7 @@ def _matches(t: Tokens, b: Block, coverage: float, agreement: float) -> list[tup
             continue
         diag, pos = hit[2, lo:hi], hit[3, lo:hi]
         slack = max(1, len(b.kind[item]) // 10)  # words put in or left out move the alignment
-        best = None
-        for wide in (0, slack):  # a single diagonal that will do is taken alone
-            for c in np.unique(diag):
-                near = (diag >= c) & (diag <= c + wide)
-                got = len(np.unique(pos[near]))
-                if got >= need and (best is None or got > best[0]):
-                    best = (got, diag[near], pos[near])
-            if best is not None:
-                break
+        best = _alignment(diag, pos, need, 0) or _alignment(diag, pos, need, slack)  # a single diagonal that will do is taken alone
         if best is None:
             continue
         w = min(WINDOW, len(b.kind[item]))
@@ -240,7 +308,6 @@ def _matches(t: Tokens, b: Block, coverage: float, agreement: float) -> list[tup
         if agree >= agreement:
             at = [j for _, j in pairs]
             out.append((int(text), b.ids[item], best[0] / b.n_windows[item], min(at), max(at) + 1, slots, agree))
-    return out
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, agreement: float = AGREEMENT) -> DataFrame:

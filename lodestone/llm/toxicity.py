@@ -29,8 +29,8 @@ PER_CLASS, NEIGHBOURS, LEAST = 2000, 15, 2
 BLOCK, FREQUENT, AHEAD, ROWS = 64, 1024, 16, 256
 #: Lengths of word beginnings; entries of a worker's word table.
 STEMS, WORDS = (4, 5, 6), 200_000
-#: Neighbours that a row shows.
-EVIDENCE = 5
+#: Neighbours that a row shows; parts that the examples are read in.
+EVIDENCE, PARTS = 5, 32
 #: Weight of the base rate among the votes; a term's weight where it tells nothing, and the share of explained variance from which it is 1.
 PRIOR, FLOOR, TELLING = 0.25, 0.1, 0.06
 
@@ -58,7 +58,7 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tu
     chosen = F.broadcast(picks[0].unionByName(picks[1]))  # 2 * per_class rows at most
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = d.join(chosen, d["doc_id"] == chosen["lab_id"]).groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    return cut(rows), sizes
+    return cut(rows.repartition(PARTS, "doc_id")), sizes
 
 
 @dataclass

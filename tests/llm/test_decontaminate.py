@@ -1,4 +1,5 @@
 import random
+import time
 import re
 
 import numpy as np
@@ -98,3 +99,60 @@ def test_names_that_open_sentences(spark):
     rows = [(1, sam), (2, "Before it. " + sam + " After it."), (3, item.replace("buys", "\nbuys").replace(". Tom", ", Tom")), (4, item.lower()), (5, item.upper()),
             (6, capital.upper()), (7, sam.replace("Sam eats", "Eve eats").replace("Sam buys", "Bob buys")), (8, "Paris is the capital of France. Rome is the capital of Italy."), (9, "They ate. How many are left?")]
     assert leaks(spark, rows, items, agreement=0.9) == [(1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (6, 2)]
+
+
+def test_names_that_open_sentences():
+    for item, other in (("Anna has 3 apples and eats 2 of them. Anna then buys 5 more pears at noon.", "Cora has 7 apples and eats 4 of them. Cora then buys 9 more pears at noon."),
+                        ("Tom had 5 marbles. Tom lost 2.", "Sam had 8 marbles. Sam lost 3.")):
+        assert [m[1] for m in D.matches([other, "nothing of the kind here at all"], D.block([(4, item)]))] == [4]
+        clash = other.replace("Cora then", "Dora then").replace("Sam lost", "Max lost")
+        assert not D.matches([clash], D.block([(4, item)]), agreement=0.99)
+
+
+def test_number_heavy_texts_take_linear_time():
+    r = random.Random(5)
+    numbers = lambda n: " ".join(str(r.randrange(1000)) for _ in range(n))
+    items = [(i, numbers(60)) for i in range(300)]
+    b = D.block(items)
+    began = time.time()
+    assert D.matches([numbers(20_000)], b) == []
+    assert [m[1] for m in D.matches([numbers(500) + " " + items[7][1] + " " + numbers(500)], b)] == [7]
+    assert time.time() - began < 5
+
+
+def test_hits_in_parts(monkeypatch):
+    """What is looked at in parts gives what is looked at whole."""
+    r = random.Random(6)
+    texts = [" ".join(r.choice(["a", "b", "Tom", "3", "7"]) for _ in range(60)) for _ in range(30)]
+    b = D.block([(i, " ".join(t.split()[10:30])) for i, t in enumerate(texts[:15])])
+    whole = sorted(D.matches(texts, b))
+    assert {(i, i) for i in range(15)} <= {m[:2] for m in whole}
+    monkeypatch.setattr(D, "HITS", 20)
+    assert sorted(D.matches(texts, b)) == whole
+
+
+def test_slots_against_brute_force():
+    """Random questions with other values, consistent or not, against a search over all alignments."""
+    r = random.Random(13)
+    names, units = ["Tom", "Ann", "Bob", "Eve", "Max"], ["km", "kg", "hours", "dollars"]
+
+    def filled(template, values):
+        return " ".join(values.get(t, t) for t in template)
+
+    for _ in range(60):
+        words = [f"w{r.randrange(400)}" for _ in range(r.randrange(12, 25))]
+        template = [r.choice(["N0", "N1", "P0", "P1", "n0 u0"]) if r.random() < 0.3 else w for w in words]
+        template = ["so", *" ".join(template).split()]
+        values = lambda: {"N0": str(r.randrange(10, 50)), "N1": str(r.randrange(50, 99)), "n0": str(r.randrange(100, 200)), "u0": r.choice(units),
+                          "P0": r.choice(names[:2]), "P1": r.choice(names[2:])}
+        item, other = filled(template, values()), filled(template, values())
+        torn = " ".join(f"x{r.randrange(900)}" if r.random() < 0.4 else w for w in other.split())
+        b = D.block([(1, item)])
+        assert [m[:2] for m in D.matches([f"say {other} and done", f"say {torn} and done"], b)] in ([(0, 1)], [(0, 1), (1, 1)])
+        t, q = D.tokens([item]).read(2), D.tokens([torn]).read(2)
+        w = min(5, len(t.kind))
+        plain = [i for i in range(len(t.kind) - w + 1) if (t.kind[i:i + w] == 0).any()] or list(range(len(t.kind) - w + 1))
+        best = max(sum(i + d >= 0 and i + d + w <= len(q.kind) and list(t.template[i:i + w]) == list(q.template[i + d:i + d + w]) for i in plain)
+                   for d in range(-len(t.kind), len(q.kind)))
+        if best < 0.5 * len(plain):
+            assert not D.matches([torn], b)
