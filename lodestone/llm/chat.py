@@ -86,8 +86,14 @@ def select_mapping(schema: T.StructType, registry: dict[str, Mapping] | None = N
     return max(within, key=lambda m: (len(m.paths), m.name))
 
 
+def _named(schema: T.StructType, name: str) -> str:
+    """The field's name as the schema writes it; fingerprints don't tell cases apart, and neither do mappings."""
+    return name if name in schema.names else next(f for f in schema.names if f.lower() == name)
+
+
 def canonical_turns(df: DataFrame, key: str = "conv_id", mapping: Mapping | None = None) -> DataFrame:
-    """``(key, turns)``; null texts and roles become empty strings, a null message array has no turns.
+    """``(key, turns)``; null texts and roles become empty strings, a null message array has no turns and
+    a null message in one is no turn.
 
     Rows per turn are put in order of (turn, role, text): nulls first, ties and
     repeated rows kept, one conversation per key, null keys together.  The other layouts give one conversation
@@ -109,7 +115,8 @@ def canonical_turns(df: DataFrame, key: str = "conv_id", mapping: Mapping | None
         turns = F.transform("all", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text")))
         return rows.select(key, turns.cast(_TURNS).alias("turns"))
     if m.messages:
-        array, who, what = m.messages
+        array = _named(df.schema, m.messages[0])
+        who, what = (_named(df.schema[array].dataType.elementType, x) for x in m.messages[1:])
         turns = F.transform(F.coalesce(F.filter(array, lambda x: x.isNotNull()), F.array().cast(df.schema[array].dataType)),
                             lambda x: F.struct(role(x[who]).alias("role"), text(x[what]).alias("text")))
     else:

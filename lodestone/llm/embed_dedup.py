@@ -72,11 +72,11 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.93, tile: int =
     good = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0)
     e = cut(e.select("vec_id", "label", "v", F.coalesce(good, F.lit(False)).alias("good")))
     classes = cut(e.where("good").groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"))
-                  .select("label", F.size("v").alias("dim"), "rep", "size", "v"))
+                  .select("label", F.size("v").alias("dim"), "rep", "size", "v", F.xxhash64("label", "v").alias("h")))
     n = classes.groupBy("label", "dim").agg(F.count("*").alias("n")).select(
         F.col("label").alias("l"), F.col("dim").alias("d"), F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
     dealt = classes.join(n, (F.col("label") == F.col("l")) & (F.col("dim") == F.col("d"))).select(
-        "label", "dim", "tiles", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int").alias("tile"), "rep", "size", "v")
+        "label", "dim", "tiles", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int").alias("tile"), "rep", "size", "v", "h")
 
     def one(table):
         label, dim, tiles, t = (table.column(c)[0].as_py() for c in ("label", "dim", "tiles", "tile"))
@@ -84,14 +84,15 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.93, tile: int =
         return pa.table({"label": pa.array([label], table.column("label").type), "dim": pa.array([dim], pa.int32()), "tiles": pa.array([tiles], pa.int32()),
                          "tile": pa.array([t], pa.int32()), "reps": pa.array([table.column("rep").to_numpy().astype("<i8").tobytes()], pa.binary()),
                          "sizes": pa.array([table.column("size").to_numpy().astype("<i8").tobytes()], pa.binary()),
+                         "hashes": pa.array([table.column("h").to_numpy().astype("<i8").tobytes()], pa.binary()),
                          "v": pa.array([v.astype("<f8").tobytes() if not np.array_equal(v.astype("<f4").astype("<f8"), v) else v.astype("<f4").tobytes()], pa.binary())})
 
     kind = embeddings.schema["label"].dataType.simpleString()
     tiles = cut(dealt.groupBy("label", "dim", "tiles", "tile").applyInArrow(
-        one, f"label {kind}, dim int, tiles int, tile int, reps binary, sizes binary, v binary"))
+        one, f"label {kind}, dim int, tiles int, tile int, reps binary, sizes binary, hashes binary, v binary"))
     # Each tile goes to every pair it is part of: (p, q) with p <= q.  A pair is a key of its own, whatever its label's size.
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
-    pairs = tiles.select("*", other).select("label", "dim", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"), "tile", "reps", "sizes", "v")
+    pairs = tiles.select("*", other).select("label", "dim", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"), "tile", "reps", "sizes", "hashes", "v")
 
     def load(r: dict):
         reps, sizes, dim = np.frombuffer(r["reps"], "<i8"), np.frombuffer(r["sizes"], "<i8"), r["dim"]
@@ -106,21 +107,22 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.93, tile: int =
         same = len(rows) == 1
         rb, nb, xb, qb = (ra, na, xa, qa) if same else load(rows[1])
         i, j = linked_pairs(xa, xb, qa, qb, threshold, same)
+        hashes = np.concatenate([np.frombuffer(r["hashes"], "<i8") for r in rows])
         links_a, links_b = np.bincount(i, nb[j], len(ra)).astype(np.int64), np.bincount(j, na[i], len(rb)).astype(np.int64)
         ids = np.concatenate([ra, rb]) if not same else ra
         links = np.concatenate([links_a, links_b]) if not same else links_a + links_b
         some = links > 0
         keep = spanning(len(ids), i, j if same else j + len(ra))
         a, b = ra[i[keep]], rb[j[keep]]
-        return pa.table({"a": pa.array([*ids[some].tolist(), *a.tolist()], pa.int64()), "b": pa.array([None] * int(some.sum()) + b.tolist(), pa.int64()),
+        return pa.table({"a": pa.array([*ids[some].tolist(), *a.tolist()], pa.int64()), "h": pa.array([*hashes[some].tolist(), *[0] * len(a)], pa.int64()), "b": pa.array([None] * int(some.sum()) + b.tolist(), pa.int64()),
                          "links": pa.array([*links[some].tolist(), *[0] * len(a)], pa.int64())})
 
     # Rows with a null b count links of class a; the others are links enough to connect the two tiles' classes.
-    met = cut(pairs.groupBy("label", "dim", "p", "q").applyInArrow(compare, "a long, b long, links long"))
-    counts = met.where("b is null").groupBy("a").agg(F.sum("links").alias("links")).select(F.col("a").alias("c_id"), "links")
+    met = cut(pairs.groupBy("label", "dim", "p", "q").applyInArrow(compare, "a long, h long, b long, links long"))
+    counts = met.where("b is null").groupBy("a", "h").agg(F.sum("links").alias("links")).select(F.col("a").alias("c_id"), F.col("h").alias("c_h"), "links")
     comps = components(met.where("b is not null").select("a", "b")).select(F.col("id").alias("k_id"), "component")
-    classes = classes.select("label", "v", "rep", "size")
-    about = (classes.join(counts, F.col("rep") == F.col("c_id"), "left").join(comps, F.col("rep") == F.col("k_id"), "left")
+    classes = classes.select("label", "v", "rep", "size", "h")
+    about = (classes.join(counts, (F.col("rep") == F.col("c_id")) & (F.col("h") == F.col("c_h")), "left").join(comps, F.col("rep") == F.col("k_id"), "left")
              .select(F.col("label").alias("l"), F.col("v").alias("w"), "rep", "size", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "rep").alias("component")))
     joined = e.join(about, F.col("good") & (F.col("label") == F.col("l")) & (F.col("v") == F.col("w")), "left")
     component = F.coalesce("component", "vec_id")

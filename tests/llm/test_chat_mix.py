@@ -87,3 +87,10 @@ def test_plan_has_no_python(spark):
     rows = [(1, "a b", "s", 0, ""), (2, "a", "t", 0, "")]
     plan = mixing.mix(docs(spark, rows))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
+
+
+def test_names_of_other_case(spark):
+    rows = [(1, [("USER", "hi"), None, ("bot", None)])]
+    df = spark.createDataFrame(rows, "conv_id long, Messages array<struct<Role:string,Content:string>>")
+    got = chat.canonical_turns(df).first()["turns"]
+    assert [(t["role"], t["text"]) for t in got] == [("USER", "hi"), ("assistant", "")]

@@ -70,3 +70,10 @@ def test_bound_is_rigorous():
         bound = length[:, None] * e + e[:, None] * length + e[:, None] * e + E.SLACK
         assert (np.abs(exact - coded) <= bound).all()
         assert (E.code_product(c, c) == c.astype(np.int64) @ c.astype(np.int64).T).all()
+
+
+def test_links_of_repeated_ids(spark):
+    """A row's links are those of its own vector, also where another row has its id."""
+    rows = [(1, [1.0, 0.0], 5), (1, [0.0, 1.0], 5), (2, [1.0, 0.01], 5), (3, [0.01, 1.0], 5), (4, [0.02, 1.0], 5)]
+    got = E.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), 0.93).collect()
+    assert sorted((g["vec_id"], g["n_links"]) for g in got) == [(1, 1), (1, 2), (2, 1), (3, 2), (4, 2)]
