@@ -26,9 +26,10 @@ from .decontaminate import slices
 #: At most so many examples of each class, neighbours that vote, and examples that a term must occur in.
 PER_CLASS, NEIGHBOURS, LEAST = 2000, 15, 2
 #: Examples in an index block; terms whose postings are kept by block; blocks between two looks at the k-th best; rows scored in one go.
-BLOCK, FREQUENT, AHEAD, ROWS = 64, 1024, 16, 256
-#: Lengths of word beginnings; entries of a worker's word table.
-STEMS, WORDS = (4, 5, 6), 200_000
+BLOCK, FREQUENT, AHEAD, ROWS = 64, 1536, 16, 256
+#: Text whose terms are counted in one go; lengths of word beginnings; entries of a worker's word table.
+BYTES = 1_000_000
+STEMS, WORDS = (4, 5, 6), 150_000
 #: Neighbours that a row shows; parts that the examples are read in.
 EVIDENCE, PARTS = 5, 32
 #: Weight of the base rate among the votes; a term's weight where it tells nothing, and the share of explained variance from which it is 1.
@@ -281,7 +282,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         m = shared.value
         terms = Terms(m.names)
-        for part in slices(batches, 1):
+        for part in slices(batches, 1, BYTES):
             idx, sims, s = m.scored(terms, part.column(1).to_pylist())
             near = np.where(idx[:, :EVIDENCE] >= 0)
             at = np.concatenate(([0], np.cumsum(np.bincount(near[0], minlength=part.num_rows))))
@@ -308,7 +309,7 @@ def without_toxic(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFram
     def keep(batches):
         m = shared.value
         terms = Terms(m.names)
-        for part in slices(batches, at):
+        for part in slices(batches, at, BYTES):
             yield part.filter(pa.array(m.scored(terms, part.column(at).to_pylist())[2] < limit))
         release()
 
