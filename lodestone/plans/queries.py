@@ -555,9 +555,7 @@ def partition_rounds(spark, d):
 
 @register("SELECT doc_id, text FROM documents WHERE source = 'src1'")
 def documents_of_source(spark, d):
-    docs = spark.read.parquet(f"{d}/documents.parquet")
-    chosen = docs.where(F.col("source") == "src1").select(F.col("doc_id").alias("k"))
-    return docs.join(chosen, docs["doc_id"] == chosen["k"], "left_semi").select("doc_id", "text")
+    return spark.read.parquet(f"{d}/documents.parquet").where(F.col("source") == "src1").select("doc_id", "text")
 
 
 @register("SELECT doc_id, ('0x' || substr(md5(text), 1, 8))::BIGINT AS hash FROM documents")
