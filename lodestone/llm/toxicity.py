@@ -30,6 +30,8 @@ BLOCK, FREQUENT, AHEAD, ROWS = 64, 1536, 16, 256
 #: Text whose terms are counted in one go; lengths of word beginnings; entries of a worker's word table.
 BYTES = 1_000_000
 STEMS, WORDS = (4, 5, 6), 150_000
+#: Postings added up in one go.
+POSTINGS = 600_000
 #: Neighbours that a row shows; parts that the examples are read in.
 EVIDENCE, PARTS = 5, 32
 #: Weight of the base rate among the votes; a term's weight where it tells nothing, and the share of explained variance from which it is 1.
@@ -162,9 +164,15 @@ class Model:
         """Indices and similarities (five decimals) of the k nearest examples of each row, exactly; -1 and 0 where
         fewer share a term.  Ties go to the smaller index.  ``leave``: an example to leave out, per row."""
         m = len(q.at) - 1
-        parts = [self._nearest(q.part(lo, min(lo + ROWS, m)), k, None if leave is None else leave[lo:lo + ROWS]) for lo in range(0, m, ROWS)]
-        if not parts or not len(self.ids):
+        if not m or not len(self.ids):
             return np.full((m, k), -1), np.zeros((m, k))
+        begin = self.index["begin"]
+        work = np.concatenate(([0], np.cumsum(begin[q.term + 1] - begin[q.term])))[q.at]
+        parts, lo = [], 0
+        while lo < m:  # so many rows and postings at a time
+            hi = min(lo + ROWS, m, max(lo + 1, int(np.searchsorted(work, work[lo] + POSTINGS, "right")) - 1))
+            parts.append(self._nearest(q.part(lo, hi), k, None if leave is None else leave[lo:hi]))
+            lo = hi
         return np.concatenate([i for i, _ in parts]), np.concatenate([s for _, s in parts])
 
     def _nearest(self, q: Sparse, k: int, leave: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
@@ -247,26 +255,43 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
 
     c = rows.select("text", "toxic").mapInArrow(each, "f string, y int").groupBy("f").agg(
         F.count("*").cast("double").alias("df"), F.sum("y").cast("double").alias("a")).where(F.col("df") >= LEAST).orderBy("f").toArrow()
-    n = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
-    n0, n1 = n.get(0, 0), n.get(1, 0)
+    held = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
+    n0, n1 = held.get(0, 0), held.get(1, 0)
     df, a = c.column("df").to_numpy(), c.column("a").to_numpy()
     told = (a * (n0 - df + a) - (df - a) * (n1 - a)) ** 2 / np.maximum(df * (n0 + n1 - df) * n0 * n1, 1e-9)  # chi-squared by rows: the variance explained
     weights = (np.log((1 + n0 + n1) / (1 + df)) + 1) * (FLOOR + np.minimum(told, TELLING) / TELLING)
     names, prior, empty = c.column("f").to_pylist(), sizes.get(1, 0) / max(1, sum(sizes.values())), np.zeros(0)
-    got = rows.select("doc_id", "toxic", "text").orderBy("toxic", "doc_id").collect()  # 2 * per_class rows at most
-    ids, y = np.array([r["doc_id"] for r in got], np.int64), np.array([r["toxic"] for r in got], np.int64)
+    shared = rows.sparkSession.sparkContext.broadcast(names)
+
+    def vectors(batches):
+        terms = Terms(shared.value)
+        for part in slices(batches, 2, BYTES):
+            row, term, count = terms.counts(part.column(2).to_pylist())
+            at = pa.array(np.searchsorted(row, np.arange(part.num_rows + 1)), pa.int32())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.ListArray.from_arrays(at, pa.array(x, pa.int32())) for x in (term, count)]],
+                                             names=["doc_id", "toxic", "term", "n"])
+        release()
+
+    # 2 * per_class rows at most, as numbers: texts stay on the executors.
+    got = rows.select("doc_id", "toxic", "text").mapInArrow(vectors, "doc_id long, toxic int, term array<int>, n array<int>").orderBy("toxic", "doc_id").toArrow().combine_chunks()
+    ids, y = got.column("doc_id").to_numpy().astype(np.int64), got.column("toxic").to_numpy().astype(np.int64)
     model = Model(names, weights, ids, y, np.where(y == 1, sizes.get(1, 0) / max(1, n1), sizes.get(0, 0) / max(1, n0)), Sparse(np.zeros(1, np.int64), y[:0], empty), prior, empty, empty)
-    if not len(got):
+    if not len(ids):
         return model
-    q = model.vectorised(len(got), *Terms(names).counts([r["text"] for r in got]))
+    term, n = (np.concatenate([c.values.to_numpy()[c.offsets[0].as_py():c.offsets[-1].as_py()] for c in got.column(x).chunks]) for x in ("term", "n"))
+    row = np.repeat(np.arange(len(ids)), np.concatenate([np.diff(c.offsets.to_numpy()) for c in got.column("n").chunks]))
+    q = model.vectorised(len(ids), row, term, n)
     # Examples whose weightiest term is the same stand together, which keeps the blocks' maxima low.
-    main = np.full(len(got), -1)
+    main = np.full(len(ids), -1)
     o = np.lexsort((q.value, q.rows))
     main[q.rows[o]] = q.term[o]
     o = np.lexsort((ids, main, y))
     model = Model(names, weights, ids[o], y[o], model.weight[o], q.take(o), prior, empty, empty)
     idx, sims = model.nearest(model.vectors, leave=np.arange(len(ids)))
     model.steps, model.levels = _monotone(model.raw(idx, sims), model.y.astype(float), model.weight)
+    del model.index  # workers make their own
+    shared.destroy()
+    release()
     return model
 
 
