@@ -81,6 +81,11 @@ def file_system(uri: str):
         raise ValueError(f"executors can't open {uri!r}: name a folder that pyarrow's file systems know") from e
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Has the driver collect its garbage, by which Spark learns whose shuffle files nobody needs any more."""
+    spark._jvm.System.gc()
+
+
 def release() -> None:
     """Gives a Python worker's freed memory back to the system; workers outlive their tasks and stages."""
     pa.default_memory_pool().release_unused()

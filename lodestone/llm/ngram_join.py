@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import BLOCK_BYTES, Blocks, bucket_of, ids_of, in_sorted, is_shared, known_keys, pack, rows_of, shared_keys, text_blocks, texts_of, unpack
-from .common import NULL_ID, components, cut, gram_hashes, mix64, released, space_table, span_hashes, spanning, words_of
+from .common import NULL_ID, components, cut, drop_shuffles, gram_hashes, mix64, released, space_table, span_hashes, spanning, words_of
 
 #: Sets of a tile; groups of at most so many sets are compared by shifts, larger ones set by set.
 TILE, SMALL = 512, 24
@@ -276,7 +276,9 @@ def _join(b: Blocks, n: int, num: int, den: int, tile: int) -> DataFrame:
     shared = shared_keys(b, keys)
     sent = b.grouped().cogroup(shared.groupBy("g")).applyInArrow(released(send), "bucket int, n int, m int, low binary, idx binary, size binary, s1 binary, maps binary")
     plausible = cut(sent.groupBy("bucket").applyInArrow(released(meet), "a long, b long").distinct())
+    drop_shuffles(b.frame.sparkSession)
     clusters = cut(components(plausible))
+    drop_shuffles(b.frame.sparkSession)
     links = _verify(b, digests, clusters, n, num, den, tile)
 
     known = digests.where("n > 0 and doc_id is not null")
