@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import BLOCK_BYTES, bucket_of, ids_of, in_sorted, known_keys, pack, shared_keys, text_blocks, texts_of, unpack
-from .common import NULL_ID, components, cut, gram_hashes, mix64, released, space_table, span_hashes, words_of
+from .common import NULL_ID, components, cut, gram_hashes, mix64, release, released, space_table, span_hashes, words_of
 
 #: Words of a shingle, least words of a passage, least similarity, hash functions.
 SHINGLE, WORDS, SIMILARITY, FUNCTIONS = 5, 50, 0.8, 6
@@ -198,6 +198,46 @@ def _distinct(before: np.ndarray, length: int, counted: np.ndarray) -> np.ndarra
     return np.cumsum(np.bincount(lo[ok], minlength=m + 1) - np.bincount(hi[ok], minlength=m + 1))[:m]
 
 
+#: Sequences of more shingles than this go to ``stretches`` without a look at their windows first.
+LOOKED_AT = 1 << 16
+
+
+def _windows(x: np.ndarray, known: np.ndarray, t: int) -> tuple[np.ndarray, ...]:
+    """(different shingles, those that are ``known`` too, whether the sequence reaches so far) of the windows of ``t`` to ``2 * t``: a row per start."""
+    m, pad = len(x) - t + 1, 2 * t - 1
+    i = np.arange(m)[:, None]
+    new = np.lib.stride_tricks.sliding_window_view(np.concatenate((_before(x), np.full(pad, len(x)))), 2 * t)[:m] < i
+    size = np.cumsum(new, 1, dtype=np.int32)[:, t - 1:]
+    new &= np.lib.stride_tricks.sliding_window_view(np.concatenate((known, np.zeros(pad, bool))), 2 * t)[:m]
+    return size, np.cumsum(new, 1, dtype=np.int32)[:, t - 1:], i + np.arange(t, 2 * t + 1) <= len(x)
+
+
+def able(a: np.ndarray, b: np.ndarray, t: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each start in either sequence, where the shortest window that may be similar to one of the other ends; a place past all ends if none may.
+
+    Two windows have no more in common than what one of them has in common with the whole other sequence, and together no
+    less than the one and what the other lacks.  Windows of sizes that go together only are held against each other; what
+    is ruled out on one side no longer counts on the other.
+    """
+    sides = [(*_windows(a, np.isin(a, b), t),), (*_windows(b, np.isin(b, a), t),)]
+    ok = [fits & (have >= similarity * size - 1e-9) for size, have, fits in sides]
+    n = np.arange(2 * t + 1)
+    together = np.minimum(n[:, None], n[None, :]) >= similarity * np.maximum(n[:, None], n[None, :]) - 1e-9
+    left = -1
+    while left != (left := int(ok[0].sum() + ok[1].sum())):
+        for one, other in ((0, 1), (1, 0)):
+            (size, have, _), (size_o, have_o, _) = sides[one], sides[other]
+            lack = np.full(2 * t + 1, 4 * t)  # by size, the least that a window of the other lacks
+            np.minimum.at(lack, size_o[ok[other]], (size_o - have_o)[ok[other]])
+            ok[one] &= have >= similarity * (size + np.where(together, lack[None, :], 4 * t).min(1)[size]) - 1e-9
+    return tuple(np.where(x.any(1), np.arange(len(x)) + x.argmax(1) + t, 1 << 60) for x in ok)
+
+
+def _holding(tiles: list[tuple[int, int]], ends: np.ndarray) -> list[tuple[int, int]]:
+    """Those of the tiles that one of the windows lies in."""
+    return [(lo, hi) for lo, hi in tiles if (ends[lo:hi] <= hi).any()]
+
+
 def stretches(a: np.ndarray, b: np.ndarray, t: int, similarity: float) -> list[tuple]:
     """(start, end, start, end, Jaccard) in shingles of similar stretches of two sequences, apart from each other in ``a``.
 
@@ -321,7 +361,11 @@ def common_passages(pa_: np.ndarray, a: np.ndarray, pb: np.ndarray, b: np.ndarra
     for i0, i1, *_ in out:
         taken |= (pa_ > i0 - n) & (pa_ < i1)
     parts = _tiles(_runs(pb, np.ones(len(pb), bool), t), t) if len(hit) else []
-    for lo, hi in _tiles(_runs(pa_, ~taken, t), t) if parts else []:
+    mine = _tiles(_runs(pa_, ~taken, t), t) if parts else []
+    if mine and max(len(a), len(b)) <= LOOKED_AT:
+        of_a, of_b = able(a, b, t, similarity)
+        mine, parts = _holding(mine, of_a), _holding(parts, of_b)
+    for lo, hi in mine:
         for left, right in parts:
             out += [(int(pa_[lo]) + x[0], int(pa_[lo]) + x[1] + n - 1, int(pb[left]) + x[2], int(pb[left]) + x[3] + n - 1, x[4])
                     for x in stretches(a[lo:hi], b[left:right], t, similarity)]
@@ -499,7 +543,8 @@ def verified(docs: np.ndarray, at: np.ndarray, s: Slices, root: np.ndarray, left
 _FOUND = pa.schema([("doc_id", pa.int64()), ("start_word", pa.int64()), ("end_word", pa.int64()), ("of_doc_id", pa.int64()), ("of_start", pa.int64()),
                     ("of_end", pa.int64()), ("jaccard", pa.float64()), ("a", pa.int64()), ("b", pa.int64())])
 _SENT = pa.schema([("bucket", pa.int32()), ("g", pa.int32()), ("m", pa.int32()), ("low", pa.binary()), ("name", pa.binary()),
-                   ("place", pa.binary()), ("n", pa.int32()), ("node", pa.binary()), ("new", pa.binary())])
+                   ("place", pa.binary()), ("n", pa.int32()), ("node", pa.binary()), ("new", pa.binary()),
+                   ("own", pa.int64()), ("text", pa.binary())])
 _NODE = pa.schema([("g", pa.int32()), ("doc", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("node", pa.int64()), ("heads", pa.list_(pa.int64()))])
 _PLACED = pa.schema([("place", pa.int64()), ("head", pa.string()), ("side", pa.int32()), ("root", pa.int64()), ("node", pa.int64()), ("heads", pa.list_(pa.int64())), ("doc", pa.int64()), ("first", pa.int64()),
                      ("size", pa.int32()), ("text", pa.binary())])
@@ -544,7 +589,7 @@ def passages(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY
         return key, row
 
     def send(key, left, right):
-        """Of each shared cell the block's node of least name, for the cell's bucket; the block's nodes and cells (bucket -1)."""
+        """Of each shared cell the block's node of least name, for the cell's bucket; the block's nodes and cells (bucket -1) and its nodes' texts (-2)."""
         if not left.num_rows or not right.num_rows:
             return _table([], _SENT)
         s = Shingles(left, n)
@@ -560,11 +605,14 @@ def passages(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY
         new = np.concatenate(([True], k[1:] != k[:-1]))
         first = np.flatnonzero(new)
         rows = [(-1, g, len(nodes.row), None, pack(nodes.name), pack(np.concatenate([s.ids[nodes.row], nodes.lo - base, nodes.hi - base])), len(k),
-                 pack(of.astype(np.int32)), pack(new.view(np.uint8)))]
+                 pack(of.astype(np.int32)), pack(new.view(np.uint8)), None, None)]
+        for name, i in zip(*(x.tolist() for x in np.unique(nodes.name, return_index=True))):  # equal places have one text
+            text = s.words(nodes.row[i], nodes.lo[i] - base[i], nodes.hi[i] - base[i] + n)
+            rows.append((-2, g, len(text), *[None] * 6, name, pa.compress(text, codec="zstd", asbytes=True)))
         k, name = k[first], nodes.name[of[first]]
         bucket, low = (k >> np.uint64(32)).astype(np.int64), k.astype(np.uint32)
         cuts = np.flatnonzero(np.diff(bucket)) + 1
-        rows += [(int(x[0]), g, len(x), y.tobytes(), pack(z), None, None, None, None) for x, y, z in zip(np.split(bucket, cuts), np.split(low, cuts), np.split(name, cuts))]
+        rows += [(int(x[0]), g, len(x), y.tobytes(), pack(z), *[None] * 6) for x, y, z in zip(np.split(bucket, cuts), np.split(low, cuts), np.split(name, cuts))]
         return _table(rows, _SENT)
 
     def meet(table):
@@ -592,9 +640,10 @@ def passages(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY
         return _table(list(zip([g] * r["m"], doc, lo, hi, unpack(r["name"], r["m"], np.int64).tolist(), each)), _NODE)
 
     sent = cut(b.grouped().cogroup(shared_keys(b, keys).groupBy("g")).applyInArrow(
-        released(send), "bucket int, g int, m int, low binary, name binary, place binary, n int, node binary, new binary"))
+        released(send), "bucket int, g int, m int, low binary, name binary, place binary, n int, node binary, new binary, own long, text binary"))
+    texts = sent.where("bucket = -2").select(F.col("g").alias("text_g"), "own", F.col("m").alias("size"), "text")
     headed = sent.where("bucket >= 0").select("bucket", "g", "m", "low", "name").groupBy("bucket").applyInArrow(released(meet), "bucket int, g int, m int, low binary, name binary")
-    member = cut(sent.where("bucket < 0").groupBy("g").cogroup(headed.groupBy("g")).applyInArrow(
+    member = cut(sent.where("bucket = -1").drop("own", "text").groupBy("g").cogroup(headed.groupBy("g")).applyInArrow(
         released(place), "g int, doc long, lo long, hi long, node long, heads array<bigint>"))
     heads = member.groupBy("node").agg(F.min(F.struct("doc", "g", "lo", "hi")).alias("h"))
     meetings = cut(member.select("node", F.explode("heads").alias("head")).distinct())
@@ -605,25 +654,18 @@ def passages(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY
         "node", "head", "heads", "tiles", F.col("h.g").alias("g"), F.col("h.doc").alias("doc"), F.col("h.lo").alias("lo"), F.col("h.hi").alias("hi"),
         F.col("node").alias("root"), F.lit(None).cast("int").alias("others"), F.lit(False).alias("main")))
 
-    def ship(key, left, right):
-        """Text around each node asked for, at each of its places."""
-        rows = []
-        if left.num_rows and right.num_rows:
-            s = Shingles(left, n)
-            of, texts = defaultdict(list), {}
-            for i, d in enumerate(s.ids.tolist()):
-                of[d].append(i)
-            for r in right.to_pylist():
-                if r["node"] not in texts:
-                    for i in of[r["doc"]]:
-                        at = s.at[i:i + 1]
-                        if r["hi"] < s.at[i + 1] - s.at[i] and (len(of[r["doc"]]) == 1 or named(s, np.array([i]), at + r["lo"], at + r["hi"], t)[0] == r["node"]):
-                            text = s.words(i, r["lo"], r["hi"] + n)
-                            texts[r["node"]] = len(text), pa.compress(text, codec="zstd", asbytes=True)
-                            break
-                size, blob = texts[r["node"]]
-                rows += [(zlib.crc32(head.encode()) % (4 * n_blocks), head, side, r["root"], r["node"], r["heads"], r["doc"], r["lo"], size, blob) for head, side in _places(r)]
-        return _table(rows, _PLACED)
+    def spread(batches):
+        """Each node, with its text, at each of its places."""
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                rows += [(zlib.crc32(head.encode()) % (4 * n_blocks), head, side, r["root"], r["node"], r["heads"], r["doc"], r["lo"], r["size"], r["text"]) for head, side in _places(r)]
+                if len(rows) >= 1000:
+                    yield from _table(rows, _PLACED).to_batches()
+                    rows = []
+            if rows:
+                yield from _table(rows, _PLACED).to_batches()
+        release()
 
     def compare(table):
         groups, texts, rows = defaultdict(dict), {}, []
@@ -653,8 +695,9 @@ def passages(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY
         return _table(rows, _FOUND)
 
     def links(asked: DataFrame) -> DataFrame:
-        placed = b.grouped().cogroup(asked.groupBy("g")).applyInArrow(
-            released(ship), "place long, head string, side int, root long, node long, heads array<bigint>, doc long, first long, size int, text binary")
+        # Texts come from what the blocks sent; the documents aren't read again.
+        placed = asked.join(texts, (F.col("g") == F.col("text_g")) & (F.col("node") == F.col("own"))).mapInArrow(
+            spread, "place long, head string, side int, root long, node long, heads array<bigint>, doc long, first long, size int, text binary")
         return cut(placed.groupBy("place").applyInArrow(
             released(compare), "doc_id long, start_word long, end_word long, of_doc_id long, of_start long, of_end long, jaccard double, a long, b long"))
 

@@ -157,3 +157,40 @@ def test_passages_of_few_different_shingles(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {x["doc_id"]: (x["component_id"], x["n_passages"] > 0) for x in P.classes(df).collect()}
     assert got == {**{3 * i: (3, True) for i in range(1, 7)}, 1: (1, False), 2: (2, False), None: (None, False)}
+
+
+def test_windows_that_rule_each_other_out(monkeypatch):
+    """Two long texts of one repeating line each, a little less than 0.8 alike, need no search; what is similar isn't ruled out."""
+    calls, search = [], P.stretches
+    monkeypatch.setattr(P, "stretches", lambda *x: calls.append(1) or search(*x))
+    line = np.arange(1, 49, dtype=np.uint64)
+    a, b = np.tile(line, 30), np.tile(np.where(line % 6 == 0, line + 1000, line), 30)
+    assert not P.common_passages(np.arange(len(a)), a, np.arange(len(b)), b, 5, 50, 0.8, first=True) and len(calls) == 0
+    r = np.random.default_rng(6)
+    seen = set()
+    for k in range(150):
+        x = r.integers(0, r.choice([12, 40, 10000]), r.integers(10, 40)).astype(np.uint64)
+        y = x[r.permutation(len(x))] if k % 3 else np.roll(x, 7)
+        y = np.concatenate([r.integers(20000, 30000, r.integers(0, 9)).astype(np.uint64), np.where(r.random(len(y)) < r.choice([0.05, 0.15]), y + np.uint64(50000), y)])
+        t = 9
+        if len(y) < t:
+            continue
+        want = [(i, i + m, j, j + o) for m in range(t, 2 * t + 1) for i in range(len(x) - m + 1) for o in range(t, 2 * t + 1) for j in range(len(y) - o + 1)
+                if 5 * len(np.intersect1d(x[i:i + m], y[j:j + o])) >= 4 * len(np.union1d(x[i:i + m], y[j:j + o]))] if k < 12 else search(x, y, t, 0.8)
+        of_x, of_y = P.able(x, y, t, 0.8)
+        for i, i_end, j, j_end, *_ in want if k < 12 else []:
+            assert of_x[i] <= i_end and of_y[j] <= j_end
+        seen.add(bool(want))
+        assert not want or (P._holding([(0, len(x))], of_x) and P._holding([(0, len(y))], of_y))
+    assert seen == {True, False}
+
+
+def test_documents_are_dealt_out_for_cells_only(spark, monkeypatch):
+    """Comparing takes the nodes' texts from what the blocks sent, also where a head has more nodes than a tile."""
+    calls, grouped = [], P.text_blocks(spark.createDataFrame([(1, "a")], "doc_id long, text string")).__class__.grouped
+    monkeypatch.setattr("lodestone.llm.blocks.Blocks.grouped", lambda self: calls.append(1) or grouped(self))
+    r = random.Random(17)
+    shared = text(r, 110, "s")
+    rows = [(i, " ".join(text(r, 60) + [w if k != 4 * i + 3 else f"x{i}" for k, w in enumerate(shared)] + text(r, 60))) for i in range(24)]
+    got = run(spark, rows, tile=6)
+    assert {g["doc_id"] for g in got} | {g["of_doc_id"] for g in got} == set(range(24)) and len(calls) == 2
