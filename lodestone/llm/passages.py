@@ -219,8 +219,12 @@ def able(a: np.ndarray, b: np.ndarray, t: int, similarity: float) -> tuple[np.nd
     less than the one and what the other lacks.  Windows of sizes that go together only are held against each other; what
     is ruled out on one side no longer counts on the other.
     """
-    sides = [(*_windows(a, np.isin(a, b), t),), (*_windows(b, np.isin(b, a), t),)]
-    ok = [fits & (have >= similarity * size - 1e-9) for size, have, fits in sides]
+    sides, ok = [], []
+    for x, y in ((a, b), (b, a)):
+        sides.append(_windows(x, np.isin(x, y), t))
+        ok.append(sides[-1][2] & (sides[-1][1] >= similarity * sides[-1][0] - 1e-9))
+        if not ok[-1].any():
+            return np.full(len(a) - t + 1, 1 << 60), np.full(len(b) - t + 1, 1 << 60)
     n = np.arange(2 * t + 1)
     together = np.minimum(n[:, None], n[None, :]) >= similarity * np.maximum(n[:, None], n[None, :]) - 1e-9
     left = -1
@@ -695,9 +699,9 @@ def passages(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY
         return _table(rows, _FOUND)
 
     def links(asked: DataFrame) -> DataFrame:
-        # Texts come from what the blocks sent; the documents aren't read again.
+        # Texts come from what the blocks sent; the documents aren't read again.  Places take long for their size: so many parts, whatever the size.
         placed = asked.join(texts, (F.col("g") == F.col("text_g")) & (F.col("node") == F.col("own"))).mapInArrow(
-            spread, "place long, head string, side int, root long, node long, heads array<bigint>, doc long, first long, size int, text binary")
+            spread, "place long, head string, side int, root long, node long, heads array<bigint>, doc long, first long, size int, text binary").repartition(n_blocks, "place")
         return cut(placed.groupBy("place").applyInArrow(
             released(compare), "doc_id long, start_word long, end_word long, of_doc_id long, of_start long, of_end long, jaccard double, a long, b long"))
 
