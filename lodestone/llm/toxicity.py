@@ -102,14 +102,13 @@ class Terms:
         words, terms, ids, sizes = self.words, self.terms, [], []
         for text in texts:
             found = _WORD.findall((text or "").lower())
-            for w in found:
-                if w not in words:
-                    words[w] = len(terms)
-                    of = [self.known[w]] if w in self.known else []
-                    for n, stems in self.stems:
-                        if len(w) > n and (stem := w[:n]) in stems:
-                            of.append(stems[stem])
-                    terms.append(of)
+            for w in set(found).difference(words):
+                words[w] = len(terms)
+                of = [self.known[w]] if w in self.known else []
+                for n, stems in self.stems:
+                    if len(w) > n and (stem := w[:n]) in stems:
+                        of.append(stems[stem])
+                terms.append(of)
             ids += map(words.__getitem__, found)
             sizes.append(len(found))
         used, at = np.unique(np.array(ids, np.int64), return_inverse=True)

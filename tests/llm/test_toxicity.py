@@ -109,3 +109,12 @@ def test_without_labels(spark):
     assert T.toxicity(docs.limit(0), none).count() == 0
     one = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
     assert all(r["predicted"] == 0 for r in T.toxicity(docs, one).collect())
+
+
+def test_counts_of_terms_by_text():
+    """Against counts text by text, with words repeated within and across texts and calls."""
+    t = T.Terms(["abcd*", "abcdef", "xy"])
+    for texts in (["abcdef xy XY abcdef", None, "abcdx zz abcd"], ["xy abcdef", "", "abcdx abcdx"]):
+        row, term, count = t.counts(texts)
+        want = Counter((i, k) for i, x in enumerate(texts) for w in (x or "").lower().split() for k, n in enumerate(["abcd*", "abcdef", "xy"]) if n in T.terms_of(w))
+        assert list(zip(row.tolist(), term.tolist())) == sorted(want) and count.tolist() == [want[k] for k in sorted(want)]
