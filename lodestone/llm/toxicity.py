@@ -11,9 +11,9 @@ are weighted by the fourth power of the similarity and calibrated on the example
 from __future__ import annotations
 
 import re
-from collections import Counter
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ BLOCK, FREQUENT, AHEAD, ROWS = 64, 1536, 16, 256
 #: Text whose terms are counted in one go; lengths of word beginnings; entries of a worker's word table.
 BYTES = 1_000_000
 STEMS, WORDS = (4, 5, 6), 150_000
-#: Postings added up in one go.
+#: Postings of a row added up in one go.
 POSTINGS = 600_000
 #: Neighbours that a row shows; parts that the examples are read in.
 EVIDENCE, PARTS = 5, 32
@@ -38,6 +38,17 @@ EVIDENCE, PARTS = 5, 32
 PRIOR, FLOOR, TELLING = 0.25, 0.1, 0.06
 
 _WORD = re.compile(r"[^\W\d_]+")
+#: The characters of Latin-1 that words are made of; a space for each other.
+_LETTERS = bytes(c if _WORD.match(chr(c)) else 32 for c in range(256))
+
+
+def words_of(text: str | None) -> list[str]:
+    """``_WORD`` found in the lower-cased text, faster where that is Latin-1."""
+    text = (text or "").lower()
+    try:
+        return text.encode("latin-1").translate(_LETTERS).decode("latin-1").split()
+    except UnicodeEncodeError:
+        return _WORD.findall(text)
 
 
 def terms_of(word: str) -> list[str]:
@@ -92,31 +103,30 @@ class Terms:
         self.size = max(len(names), 1)
         self.known = {t: i for i, t in enumerate(names) if not t.endswith("*")}
         self.stems = [(n, {t[:-1]: i for i, t in enumerate(names) if len(t) == n + 1 and t.endswith("*")}) for n in STEMS]
+        self.forget()
+
+    def forget(self) -> None:
         self.words: dict[str, int] = {}
-        self.terms: list[tuple] = []
+        self.terms = np.zeros((0, 1 + len(STEMS)), np.int32)  # of a word itself and of its beginnings; -1: not known
+
+    def learn(self, new: list[str]) -> None:
+        """Looks up the terms of words, all in one go: most words of a text are rare ones."""
+        long, of = np.fromiter(map(len, new), np.int64, len(new)), np.empty((len(new), 1 + len(STEMS)), np.int32)
+        of[:, 0] = np.fromiter(map(self.known.get, new, repeat(-1)), np.int32, len(new))
+        for c, (n, stems) in enumerate(self.stems, 1):
+            of[:, c] = np.where(long > n, np.fromiter(map(stems.get, [w[:n] for w in new], repeat(-1)), np.int32, len(new)), -1)
+        self.words.update(zip(new, range(len(self.words), len(self.words) + len(new))))
+        self.terms = np.concatenate([self.terms, of])
 
     def counts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, term, count), ascending, of the terms that occur."""
         if len(self.words) >= WORDS:
-            self.words, self.terms = {}, []
-        words, terms, ids, sizes = self.words, self.terms, [], []
-        for text in texts:
-            found = _WORD.findall((text or "").lower())
-            for w in set(found).difference(words):
-                words[w] = len(terms)
-                of = [self.known[w]] if w in self.known else []
-                for n, stems in self.stems:
-                    if len(w) > n and (stem := w[:n]) in stems:
-                        of.append(stems[stem])
-                terms.append(of)
-            ids += map(words.__getitem__, found)
-            sizes.append(len(found))
-        used, at = np.unique(np.array(ids, np.int64), return_inverse=True)
-        of = [terms[i] for i in used.tolist()]
-        flat, size = np.array([t for x in of for t in x], np.int64), np.array([len(x) for x in of], np.int64)
-        start, k = (np.cumsum(size) - size)[at], size[at]
-        i = np.repeat(start - (np.cumsum(k) - k), k) + np.arange(k.sum())
-        key, times = np.unique(np.repeat(np.repeat(np.arange(len(texts)) * self.size, sizes), k) + flat[i], return_counts=True)
+            self.forget()
+        found = [words_of(text) for text in texts]
+        self.learn(list(set().union(*found).difference(self.words)))
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        of = self.terms[np.fromiter(map(self.words.__getitem__, chain.from_iterable(found)), np.int64, sizes.sum())]
+        key, times = np.unique((np.repeat(np.arange(len(texts)) * self.size, sizes)[:, None] + of)[of >= 0], return_counts=True)
         return key // self.size, key % self.size, times
 
 
@@ -145,19 +155,19 @@ class Model:
 
     @cached_property
     def index(self) -> dict:
-        """Postings of rare terms; of frequent ones a row each over all examples and a row of block maxima."""
+        """Postings of rare terms; of frequent ones a row each in every block and a row of block maxima."""
         n, m = -(-len(self.ids) // BLOCK) * BLOCK, len(self.names)
         x, df = self.vectors, np.bincount(self.vectors.term, minlength=m)
         frequent = np.sort(np.argsort(-df, kind="stable")[:FREQUENT])
         place = np.full(m, -1)
         place[frequent] = np.arange(len(frequent))
         often = place[x.term] >= 0
-        dense = np.zeros((len(frequent), n), np.float32)
-        dense[place[x.term[often]], x.rows[often]] = x.value[often]
+        dense = np.zeros((n // BLOCK, len(frequent), BLOCK), np.float32)
+        dense[x.rows[often] // BLOCK, place[x.term[often]], x.rows[often] % BLOCK] = x.value[often]
         o = np.argsort(x.term[~often], kind="stable")
         begin = np.searchsorted(x.term[~often][o], np.arange(m + 1))
-        return {"n": n, "place": place, "dense": dense, "top": dense.reshape(len(frequent), n // BLOCK, BLOCK).max(2), "begin": begin,
-                "example": x.rows[~often][o].astype(np.int32), "value": x.value[~often][o]}
+        return {"n": n, "place": place, "dense": dense, "top": dense.max(2).T, "begin": begin,
+                "example": x.rows[~often][o], "value": x.value[~often][o]}
 
     def nearest(self, q: Sparse, k: int = NEIGHBOURS, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Indices and similarities (five decimals) of the k nearest examples of each row, exactly; -1 and 0 where
@@ -165,46 +175,59 @@ class Model:
         m = len(q.at) - 1
         if not m or not len(self.ids):
             return np.full((m, k), -1), np.zeros((m, k))
-        begin = self.index["begin"]
-        work = np.concatenate(([0], np.cumsum(begin[q.term + 1] - begin[q.term])))[q.at]
-        parts, lo = [], 0
-        while lo < m:  # so many rows and postings at a time
-            hi = min(lo + ROWS, m, max(lo + 1, int(np.searchsorted(work, work[lo] + POSTINGS, "right")) - 1))
-            parts.append(self._nearest(q.part(lo, hi), k, None if leave is None else leave[lo:hi]))
-            lo = hi
+        parts = [self._nearest(q.part(lo, min(lo + ROWS, m)), k, None if leave is None else leave[lo:lo + ROWS]) for lo in range(0, m, ROWS)]
         return np.concatenate([i for i, _ in parts]), np.concatenate([s for _, s in parts])
 
+    def _rare(self, q: Sparse) -> np.ndarray:
+        """What rare terms give each row with each example.  Postings are added up a row at a time, which
+        takes less time than those of many rows at once."""
+        x = self.index
+        sims, rare = np.zeros((len(q.at) - 1, x["n"]), np.float32), x["place"][q.term] < 0
+        at, term, value = np.concatenate(([0], np.cumsum(rare)))[q.at], q.term[rare], q.value[rare]
+        begin, size = x["begin"][term], x["begin"][term + 1] - x["begin"][term]
+        end = np.cumsum(size)
+        for r, (lo, last) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
+            while lo < last:
+                hi = min(last, max(lo + 1, int(np.searchsorted(end, end[lo] - size[lo] + POSTINGS, "right"))))
+                some = size[lo:hi]
+                i = np.repeat(begin[lo:hi] - (np.cumsum(some) - some), some)
+                i += np.arange(len(i))
+                w = x["value"].take(i)
+                w *= np.repeat(value[lo:hi], some)
+                sims[r] += np.bincount(x["example"].take(i), w, x["n"])
+                lo = hi
+        return sims
+
     def _nearest(self, q: Sparse, k: int, leave: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         m, x = len(q.at) - 1, self.index
         n, row = x["n"], q.rows
-        if not n:
-            return np.full((m, k), -1), np.zeros((m, k))
         often = x["place"][q.term] >= 0
-        head = np.zeros((m, len(x["dense"])), np.float32)
+        head = np.zeros((m, x["dense"].shape[1]), np.float32)
         head[row[often], x["place"][q.term[often]]] = q.value[often]
-        term, size = q.term[~often], x["begin"][q.term[~often] + 1] - x["begin"][q.term[~often]]
-        i = np.repeat((x["begin"][term] - (np.cumsum(size) - size)).astype(np.int32), size)
-        i += np.arange(len(i), dtype=np.int32)
-        to = np.repeat((row[~often] * n).astype(np.int32), size)
-        to += x["example"][i]
-        sims = np.bincount(to, np.repeat(q.value[~often], size) * x["value"][i], m * n).astype(np.float32).reshape(m, n)
+        sims = self._rare(q)
         if leave is not None:
             sims[np.arange(m), leave] = -9
         bound = sims.reshape(m, n // BLOCK, BLOCK).max(2) + head @ x["top"] + 1e-5
         order, done = np.argsort(-bound.max(0), kind="stable"), np.full((m, n), -1, np.float32)
+        best = np.full((m, k), -1, np.float32)  # the k best so far, the least of them first
         for lo in range(0, len(order), AHEAD):
-            least = np.partition(done, n - k, 1)[:, n - k] if n > k and lo else np.full(m, -1.0)
-            for b in order[lo:lo + AHEAD]:
-                rows, at = np.flatnonzero(bound[:, b] >= least), slice(b * BLOCK, (b + 1) * BLOCK)
+            ahead = order[lo:lo + AHEAD]
+            for b in ahead:
+                rows, at = np.flatnonzero(bound[:, b] >= best[:, 0]), slice(b * BLOCK, (b + 1) * BLOCK)
                 if len(rows):
-                    done[rows, at] = sims[rows, at] + head[rows] @ x["dense"][:, at]
-        # Similarity and place in one number, so that ties are settled by place.
-        key = np.maximum(np.rint(done * 1e5), 0).astype(np.int64) * n + (n - 1 - np.arange(n))
-        best = -np.sort(-(np.partition(key, n - k, 1)[:, n - k:] if n > k else key), 1)
-        if best.shape[1] < k:
-            best = np.concatenate([best, np.zeros((m, k - best.shape[1]), np.int64)], 1)
-        some = best // n > 0
-        return np.where(some, n - 1 - best % n, -1), np.where(some, best // n / 1e5, 0)
+                    done[rows, at] = sims[rows, at] + head[rows] @ x["dense"][b]
+            seen = done.reshape(m, n // BLOCK, BLOCK)[:, ahead].reshape(m, -1)
+            best = np.partition(np.concatenate([best, seen], 1), seen.shape[1], 1)[:, seen.shape[1]:]
+        # Similarity and place in one number, so that ties are settled by place; only of those that round to the k-th best or more.
+        row, at = np.nonzero(done >= np.maximum(best[:, :1] - 2e-5, 4e-6))
+        key = np.rint(done[row, at] * 1e5).astype(np.int64) * n + (n - 1 - at)
+        o = np.lexsort((-key, row))
+        row, key = row[o], key[o]
+        place = np.arange(len(row)) - np.searchsorted(row, np.arange(m))[row]
+        keep = (place < k) & (key >= n)
+        idx, near = np.full((m, k), -1), np.zeros((m, k))
+        idx[row[keep], place[keep]], near[row[keep], place[keep]] = n - 1 - key[keep] % n, key[keep] // n / 1e5
+        return idx, near
 
     def raw(self, idx: np.ndarray, sims: np.ndarray) -> np.ndarray:
         if not len(self.ids):

@@ -1,4 +1,5 @@
 import random
+import sys
 import zlib
 from collections import Counter
 
@@ -118,3 +119,42 @@ def test_counts_of_terms_by_text():
         row, term, count = t.counts(texts)
         want = Counter((i, k) for i, x in enumerate(texts) for w in (x or "").lower().split() for k, n in enumerate(["abcd*", "abcdef", "xy"]) if n in T.terms_of(w))
         assert list(zip(row.tolist(), term.tolist())) == sorted(want) and count.tolist() == [want[k] for k in sorted(want)]
+
+
+def test_words_of_any_characters():
+    """The way by Latin-1 finds what the pattern finds."""
+    r = random.Random(8)
+    for top in (128, 256, 1000):
+        for _ in range(200):
+            t = "".join(chr(r.randrange(top)) for _ in range(r.randrange(40)))
+            assert T.words_of(t) == T._WORD.findall(t.lower())
+    assert T.words_of("".join(map(chr, range(256)))) == T._WORD.findall("".join(map(chr, range(256))).lower())
+    assert T.words_of("\u0130x \u201cStra\xdfe\u201d 5\xb2 a\xa0b") == ["i", "x", "stra\xdfe", "\xb2", "a", "b"] and T.words_of(None) == T.words_of("") == []
+
+
+def test_work_of_new_words_and_of_rows(monkeypatch):
+    """New words take no calls each, and rows go through the blocks together whatever their postings."""
+    t, calls = T.Terms(["abcd*", "abcdef", "xy"]), 0
+
+    def seen(frame, event, arg):
+        nonlocal calls
+        calls += event == "c_call"
+
+    letters = "bcdfghklmnpqrstvwxyz"
+    words = [f"{a}{b}{c}e" for a in letters for b in letters for c in letters]
+    sys.setprofile(seen)
+    try:
+        t.counts([" ".join(words)])
+    finally:
+        sys.setprofile(None)
+    assert len(t.words) == len(words) and calls < len(words) / 10
+    r = np.random.default_rng(5)
+    v = r.random((200, 30)) * (r.random((200, 30)) < 0.3)
+    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+    monkeypatch.setattr(T, "FREQUENT", 5)
+    monkeypatch.setattr(T, "POSTINGS", 100)
+    m = T.Model([f"f{i}" for i in range(30)], np.ones(30), np.arange(200), np.zeros(200), np.ones(200), sparse(v), 0.1, np.zeros(0), np.zeros(0))
+    whole, went = T.Model._nearest, []
+    monkeypatch.setattr(T.Model, "_nearest", lambda self, q, *a: went.append(len(q.at) - 1) or whole(self, q, *a))
+    _, sims = m.nearest(sparse(v), 4)
+    assert went == [200] and np.allclose(sims, -np.sort(-(v @ v.T), 1)[:, :4], atol=2e-5)
