@@ -191,7 +191,8 @@ def jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, blo
     Rows of one ``doc_id`` are one node; rows without an id link with nothing and have a null component.
     Empty tables give no rows; other columns are ignored.
     """
-    return _join(text_blocks(docs, block_bytes), n, num, den, tile).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    b = text_blocks(docs, block_bytes)
+    return b.restored(_join(b, n, num, den, tile).select("doc_id", F.col("n").alias("n_shingles"), "component_id"), "doc_id", "component_id")
 
 
 def deduplicate(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, block_bytes: int = BLOCK_BYTES, tile: int = TILE) -> DataFrame:

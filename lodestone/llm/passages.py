@@ -725,7 +725,7 @@ def passages(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY
     copies = member.select("doc", "lo", "hi", "node").join(heads, "node").where(F.col("doc") > F.col("h.doc")).select(
         F.col("doc").alias("doc_id"), F.col("lo").alias("start_word"), (F.col("hi") + n).alias("end_word"), F.col("h.doc").alias("of_doc_id"),
         F.col("h.lo").alias("of_start"), (F.col("h.hi") + n).alias("of_end"), F.lit(1.0).alias("jaccard"))
-    return found.drop("a", "b").unionByName(copies).distinct()
+    return b.restored(found.drop("a", "b").unionByName(copies).distinct(), "doc_id", "of_doc_id")
 
 
 def _places(r: dict) -> list[tuple[str, int]]:

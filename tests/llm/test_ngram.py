@@ -55,6 +55,13 @@ def corpus(seed, n=90, words=40, vocabulary=30):
     return rows
 
 
+def test_greatest_id_is_not_null(spark):
+    most = (1 << 63) - 1
+    near = " ".join(f"w{i}" for i in range(40))
+    rows = [(most, near), (most - 1, "one two three four five"), (None, near), (most, "six seven eight nine ten"), (3, near + " more"), (-7, "six seven eight nine ten")]
+    assert run(spark, rows, n=4, num=85) == brute(rows, 4, 85, 100)
+
+
 @pytest.mark.parametrize("seed,n,num", [(1, 4, 85), (2, 5, 80), (3, 2, 60)])
 def test_brute_force(spark, seed, n, num):
     rows = corpus(seed) + [(500, None), (501, ""), (502, " \n"), (503, "one"), (504, "One"), (505, "one two"), (None, "one two"), (None, "w"), (506, "a\xa0b c"), (507, "é É")]

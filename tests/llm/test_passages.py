@@ -79,6 +79,14 @@ def test_planted_passages(spark):
             assert " ".join(shared) in " ".join(a)
 
 
+def test_greatest_id_is_not_null(spark):
+    most, r = (1 << 63) - 1, random.Random(8)
+    shared = " ".join(text(r, 70))
+    df = spark.createDataFrame([(most, shared), (5, " ".join(text(r, 20, "a")) + " " + shared), (None, shared)], "doc_id long, text string")
+    got = {x["doc_id"]: (x["component_id"], x["n_passages"] > 0) for x in P.classes(df).collect()}
+    assert got == {most: (5, True), 5: (5, True), None: (None, False)}
+
+
 def test_empty(spark):
     assert run(spark, []) == []
     assert run(spark, [(1, "a b"), (2, None)]) == []
