@@ -179,3 +179,25 @@ def test_full_estimates_hold_every_edge(spark, tmp_path, monkeypatch):
     for q in (queries.triest_base_full, queries.triest_improved_full):
         got = q(spark, str(tmp_path)).first()
         assert (got["seen"], got["estimate"]) == (len(e), n) and len(e) > 20 and n
+
+
+def test_iterated_spectrum_settles_in_few_rounds(spark):
+    """Values close to each other, as random graphs have them: a block Krylov space finds them where powers of the matrix don't in these rounds."""
+    pairs = some_graph(8, 300, 3000)
+    a = affinity(spark, pairs)
+    dense, _ = spectral.eigenpairs(a, 6)
+    values, vectors = spectral.eigenpairs(a, 6, dense=0, rounds=20)
+    assert values == pytest.approx(dense, abs=1e-6)
+    m = np.zeros((300, 300))
+    for r in graph.normalized_affinity(a).collect():
+        m[r["i"], r["j"]] = r["w"]
+    x = np.zeros((300, 6))
+    for r in vectors.collect():
+        x[r["node"]] = r["vec"]
+    assert np.abs(x.T @ x - np.eye(6)).max() < 1e-8 and np.abs(m @ x - x * values).max() < 1e-3
+
+
+def test_iterated_spectrum_of_small_graphs(spark):
+    values, vectors = spectral.eigenpairs(affinity(spark, RING), 6, dense=0)
+    assert values == pytest.approx([1.0, 0.535849, 0.274292, -0.376585, -0.607625, -0.825930], abs=1e-6) and vectors.count() == 6
+    assert spectral.eigenpairs(affinity(spark, RING).where("i < 0"), 3)[0] == []
