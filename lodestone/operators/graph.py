@@ -37,23 +37,35 @@ def top_degree_subgraph(edges: DataFrame, n: int) -> DataFrame:
     return edges.join(top.select(F.col("node").alias("u")), "u", "left_semi").join(top.select(F.col("node").alias("v")), "v", "left_semi").select("u", "v")
 
 
-def triangles(edges: DataFrame, order: list[str] = ()) -> DataFrame:
+def triangles(edges: DataFrame, order: str | None = None) -> DataFrame:
     """``x, y, z``, each triangle once, of canonical ``edges``.
 
     Edges point from the end of lower degree to that of higher degree, so no node has more than
-    sqrt(2 E) edges out and hubs don't blow up the wedges.  ``order`` names columns of an edge to carry as e_xy, e_xz, e_yz.
+    sqrt(2 E) edges out and hubs don't blow up the wedges.  With ``order``, a column of the edges, ``third`` in addition:
+    which of x, y, z (0, 1, 2) the triangle's last edge leaves out; wedges carry no more than the later of their two values and which it is.
     """
     d = degrees(edges)
     e = edges.join(d.select(F.col("node").alias("u"), F.col("degree").alias("du")), "u").join(d.select(F.col("node").alias("v"), F.col("degree").alias("dv")), "v")
     up = (F.col("du") < F.col("dv")) | ((F.col("du") == F.col("dv")) & (F.col("u") < F.col("v")))
-    carry = F.struct(*order) if order else F.lit(1)
     o = e.select(F.when(up, F.col("u")).otherwise(F.col("v")).alias("x"), F.when(up, F.col("v")).otherwise(F.col("u")).alias("y"),
-                 F.when(up, F.col("dv")).otherwise(F.col("du")).alias("dy"), carry.alias("c"))
+                 F.when(up, F.col("dv")).otherwise(F.col("du")).alias("dy"), *([F.col(order).alias("c")] if order else []))
     w = o.alias("p").join(o.alias("q"), F.col("p.x") == F.col("q.x"))
     w = w.where((F.col("p.dy") < F.col("q.dy")) | ((F.col("p.dy") == F.col("q.dy")) & (F.col("p.y") < F.col("q.y"))))
-    w = w.select(F.col("p.x").alias("x"), F.col("p.y").alias("y"), F.col("q.y").alias("z"), F.col("p.c").alias("e_xy"), F.col("q.c").alias("e_xz"))
-    closed = w.join(o.select(F.col("x").alias("y"), F.col("y").alias("z"), F.col("c").alias("e_yz")), ["y", "z"])
-    return closed.select("x", "y", "z", *(["e_xy", "e_xz", "e_yz"] if order else []))
+    # Edges of one value come in order of their ends, so the last is the same whichever way a triangle is found.
+    y_last = later(F.col("p.c"), F.col("p.x"), F.col("p.y"), F.col("q.c"), F.col("q.x"), F.col("q.y"))
+    w = w.select(F.col("p.x").alias("x"), F.col("p.y").alias("y"), F.col("q.y").alias("z"), *([F.greatest("p.c", "q.c").alias("c"), y_last.alias("y_last")] if order else []))
+    closed = w.join(o.select(F.col("x").alias("y"), F.col("y").alias("z"), *([F.col("c").alias("c_yz")] if order else [])), ["y", "z"])
+    if not order:
+        return closed.select("x", "y", "z")
+    end = F.when(F.col("y_last"), F.col("y")).otherwise(F.col("z"))
+    third = F.when(later("c_yz", "y", "z", "c", "x", end), 0).when(F.col("y_last"), 2).otherwise(1)
+    return closed.select("x", "y", "z", third.alias("third"))
+
+
+def later(c, a, b, d, e, f) -> Column:
+    """Whether edge a-b of value c comes after edge e-f of value d: by value, then by its ends."""
+    c, d = (F.col(v) if isinstance(v, str) else v for v in (c, d))
+    return (c > d) | ((c == d) & (F.struct(F.least(a, b), F.greatest(a, b)) > F.struct(F.least(e, f), F.greatest(e, f))))
 
 
 def triangles_global(edges: DataFrame) -> DataFrame:
@@ -68,9 +80,9 @@ def triangles_local(edges: DataFrame) -> DataFrame:
 
 def triangles_local_endpoints(edges: DataFrame) -> DataFrame:
     """``node, triangles``: each triangle credited to the two ends of its edge of highest ``seq``, not to its third node."""
-    t = triangles(edges, order=["seq", "u", "v"])
-    last = F.greatest("e_xy", "e_xz", "e_yz")
-    ends = t.select(last.alias("e")).select(F.explode(F.array("e.u", "e.v")).alias("node")).groupBy("node").agg(F.count("*").alias("triangles"))
+    t = triangles(edges, order="seq")
+    corners = F.when(F.col("third") == 0, F.array("y", "z")).when(F.col("third") == 1, F.array("x", "z")).otherwise(F.array("x", "y"))
+    ends = t.select(F.explode(corners).alias("node")).groupBy("node").agg(F.count("*").alias("triangles"))
     return degrees(edges).select("node").join(ends, "node", "left").select("node", F.coalesce("triangles", F.lit(0)).alias("triangles"))
 
 
