@@ -201,3 +201,26 @@ def test_iterated_spectrum_of_small_graphs(spark):
     values, vectors = spectral.eigenpairs(affinity(spark, RING), 6, dense=0)
     assert values == pytest.approx([1.0, 0.535849, 0.274292, -0.376585, -0.607625, -0.825930], abs=1e-6) and vectors.count() == 6
     assert spectral.eigenpairs(affinity(spark, RING).where("i < 0"), 3)[0] == []
+
+
+def test_last_edges_of_triangles(spark):
+    """Edges of one value come in order of their ends; wedges carry a value and which edge has it, not the edges."""
+    pairs = some_graph(9)
+    for at in ({p: 0 for p in pairs}, {p: (p[0] * 7 + p[1]) % 3 for p in pairs}):
+        e = spark.createDataFrame([(at[p], *p) for p in pairs], "seq long, u long, v long")
+        t = graph.triangles(e, order="seq")
+        assert t.columns == ["x", "y", "z", "third"]
+        for x, y, z, third in t.collect():
+            sides = {0: (y, z), 1: (x, z), 2: (x, y)}
+            assert sorted(sides[third]) == list(max((tuple(sorted(s)) for s in sides.values()), key=lambda s: (at[s], s)))
+
+
+@pytest.mark.parametrize("improved", [False, True])
+def test_whole_stream_is_held_by_no_task(spark, improved):
+    pairs = some_graph(10)
+    twice = edges(spark, pairs + pairs[:9] + [(4, 4)])
+    exact = graph.triangles_global(graph.canonical_edges(twice).select("u", "v")).first()[0]
+    out = reservoir.stream_estimates(twice, len(pairs), improved, replicas=2)
+    assert sorted(map(tuple, out.collect())) == [(0, len(pairs), float(exact)), (1, len(pairs), float(exact))]
+    assert "InPandas" not in out._jdf.queryExecution().toString()
+    assert reservoir.stream_estimates(twice.where("u > 99"), 20, improved).count() == 0
